@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from lodestone.llm import licenses
 from lodestone.llm.bpe import op3_bpe
+from lodestone.llm.licenses import op7_license_scan
+from lodestone.llm.pii import op9_pii
+from lodestone.llm.urls import op5_url_filter
 
 
 def queries() -> dict:
-    return {"op3_bpe": op3_bpe}
+    return {"op3_bpe": op3_bpe, "op5_url_filter": op5_url_filter, "op7_license_scan": op7_license_scan, "op9_pii": op9_pii}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op7_license_scan": licenses.ORACLE_SQL}

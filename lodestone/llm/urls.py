@@ -78,14 +78,13 @@ def buckets(host: Column, path: Column) -> Column:
 def fit(spark: SparkSession) -> tuple[float, list[float]]:
     """Intercept and weights of the buckets, from the labelled table."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors
 
     rows = [("http://" + u, label) for text, label in ((BLOCKED, 1.0), (ALLOWED, 0.0)) for u in text.split()]
-    given = spark.createDataFrame(rows, "url string, label double").coalesce(1)
     host, path = host_path(F.col("url"))
-    given = given.select("label", buckets(host, path).alias("b"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.array_contains(F.col("b"), i).cast("double"))
-    model = LogisticRegression(regParam=0.02, standardization=False, maxIter=60).fit(given.select("label", array_to_vector(dense).alias("features")))
+    hashed = spark.createDataFrame(rows, "url string, label double").select("label", buckets(host, path).alias("b")).collect()  # the fixed table's few rows
+    given = spark.createDataFrame([(r["label"], Vectors.sparse(BUCKETS, sorted(r["b"]), [1.0] * len(r["b"]))) for r in hashed], ["label", "features"])
+    model = LogisticRegression(regParam=0.02, standardization=False, maxIter=60).fit(given.coalesce(1))
     return float(model.intercept), [float(x) for x in model.coefficients.toArray()]
 
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from lodestone.llm import licenses
 from lodestone.llm.bpe import op3_bpe
+from lodestone.llm.langid import op4_langid
 from lodestone.llm.licenses import op7_license_scan
 from lodestone.llm.pii import op9_pii
+from lodestone.llm.toxicity import op8_toxicity
 from lodestone.llm.urls import op5_url_filter
 
 
 def queries() -> dict:
-    return {"op3_bpe": op3_bpe, "op5_url_filter": op5_url_filter, "op7_license_scan": op7_license_scan, "op9_pii": op9_pii}
+    return {"op3_bpe": op3_bpe, "op4_langid": op4_langid, "op5_url_filter": op5_url_filter, "op7_license_scan": op7_license_scan, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii}
 
 
 def oracle_sql() -> dict:

@@ -65,3 +65,8 @@ def in_python(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow with small batches. function: from an iterator of record batches to one of record batches."""
     bounded_batches(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+def let(value, then):
+    """then(value), where value is worked out once a row: an expression inside a lambda is else worked out for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lodestone.llm import licenses
 from lodestone.llm.bpe import op3_bpe
+from lodestone.llm.decontaminate import op10_decontaminate
 from lodestone.llm.langid import op4_langid
 from lodestone.llm.licenses import op7_license_scan
 from lodestone.llm.neardup import op2_near_dedup
@@ -14,7 +15,7 @@ from lodestone.llm.urls import op5_url_filter
 
 
 def queries() -> dict:
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_near_dedup": op2_near_dedup, "op3_bpe": op3_bpe, "op4_langid": op4_langid, "op5_url_filter": op5_url_filter, "op7_license_scan": op7_license_scan, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_near_dedup": op2_near_dedup, "op3_bpe": op3_bpe, "op4_langid": op4_langid, "op5_url_filter": op5_url_filter, "op7_license_scan": op7_license_scan, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import let, table
 
 #: (verdict, host, path); a rule fits the host, its subdomains, and paths that begin with its path.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -65,14 +65,16 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def buckets(host: Column, path: Column) -> Column:
     """The distinct hash buckets of the character n-grams of host and path."""
     text = F.concat(F.lit("^"), host, F.regexp_replace(path, "[0-9]+", "0"), F.lit("$"))
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
 
-    def grams(n: int) -> Column:
-        gram = lambda i: F.concat_ws("", *[F.get(chars, i + k) for k in range(n)])
-        last = F.greatest(F.size(chars) - n, F.lit(0))
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.pmod(F.xxhash64(gram(i)), F.lit(BUCKETS)).cast("int"))
+    def of(chars: Column) -> Column:
+        def grams(n: int) -> Column:
+            gram = lambda i: F.concat_ws("", *[F.get(chars, i + k) for k in range(n)])
+            last = F.greatest(F.size(chars) - n, F.lit(0))
+            return F.transform(F.sequence(F.lit(0), last), lambda i: F.pmod(F.xxhash64(gram(i)), F.lit(BUCKETS)).cast("int"))
 
-    return F.array_distinct(F.concat(*[grams(n) for n in SIZES]))
+        return F.array_distinct(F.concat(*[grams(n) for n in SIZES]))
+
+    return let(F.filter(F.split(text, ""), lambda c: c != ""), of)
 
 
 def fit(spark: SparkSession) -> tuple[float, list[float]]:

@@ -5,13 +5,12 @@ region of weight and rank: a unit of weight receives a Poisson process of darts
 shingle occurs, and only darts of low rank (about k ln k + 2k a text) are ever made. Each dart falls on one of k
 coordinates; a coordinate keeps its earliest dart. Two texts agree on a coordinate with probability sum(min)/sum(max).
 
-Texts that are equal count once. Bands of ROWS coordinates deal texts to groups. Within a group a text is compared with a
-leader, never all with all: first each text with its smallest leader, then, where a group still holds several classes, with
-the leaders of all its groups, and at last, in groups that still hold several classes, texts of different classes that share
-at least MEETINGS groups. Each pair is verified on whole texts: weighted Jaccard >= SIMILARITY. A link left out joins only texts
-that are in one class already. Classes are connected components.
+Texts that are equal count once. Bands of ROWS coordinates deal texts to groups. A text is first compared with the leader of
+one of its groups: the text that lies in the largest groups, so most near it. Where a group still holds several classes, its
+texts are compared block by block (see closing), never emitted as pairs. Each link is verified on whole texts: weighted Jaccard >=
+SIMILARITY. A link left out joins only texts that are in one class already. Classes are connected components.
 
-A pair of similarity 0.8 shares no band with probability (1-0.8^4)^32 < 5e-8, and fewer than MEETINGS with 1.1e-6.
+A pair of similarity 0.8 shares no band with probability (1-0.8^4)^32 < 5e-8.
 
 Defined results: words are lower-cased and cut at white space; a text with fewer words than a shingle is one shingle; null
 texts and texts without words are near nothing, each row its own class; repeated rows are copies; a class's id is its smallest
@@ -32,7 +31,8 @@ from lodestone.llm.rolling import WORD_BASE, U, mix, stretches, windows, words
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 K = BANDS * ROWS
-MEETINGS = 2
+#: Texts of a block when the classes of a heap of groups are closed.
+CLOSING = 128
 THROWN = K * np.log(K) + 2 * K
 
 
@@ -148,16 +148,83 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return in_python(met, run, "a long, b long, similarity double").filter(F.col("similarity") >= similarity)
 
 
+def forest(ks: np.ndarray, roots: np.ndarray, side: np.ndarray, texts: list[str], similarity: float) -> list[tuple[int, int, float]]:
+    """Near pairs of different classes, only as many as connect them. side: where both halves are there, pairs lie across them."""
+    doc, h, weight = weighted(texts)
+    # a multiset as a set: each occurrence is an element of its own
+    at = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    doc, h = np.repeat(doc, weight), mix(np.repeat(h, weight) + at.astype(U) * U(0x9E3779B97F4A7C15), 8)
+    _, column, times = np.unique(h, return_inverse=True, return_counts=True)
+    size = np.bincount(doc, minlength=len(texts))
+    shared = times[column] > 1
+    doc, column = doc[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], np.unique(column[order], return_inverse=True)[1]
+    both = np.zeros((len(texts), len(texts)), np.float32)
+    width = 1 << 13
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):  # the product in slices, of bounded size
+        i, j = np.searchsorted(column, [lo, lo + width])
+        x = np.zeros((len(texts), width), np.float32)
+        x[doc[i:j], column[i:j] - lo] = 1
+        both += x @ x.T
+    near = both / np.maximum(size[:, None] + size[None] - both, 1)
+    fits = np.triu((near >= similarity) & (roots[:, None] != roots[None]), 1)
+    if len(np.unique(side)) > 1:
+        fits &= side[:, None] != side[None]
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(fits), strict=True):
+        a, b = top(int(roots[i])), top(int(roots[j]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((int(ks[i]), int(ks[j]), float(near[i, j])))
+    return out
+
+
+def closing(open_: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links between classes that still share a group. open_: (g, k, root).
+
+    Texts that hang together by such groups are cut into blocks of CLOSING or so, and each two blocks meet in a task of their
+    own, which compares all their texts by a matrix product and tells no more links than connect the classes. So every pair
+    that shares a group is compared, but what Spark moves are blocks, never pairs."""
+    open_ = settle(open_.select("g", "k", "root"))
+    hung = components(open_.join(open_.groupBy("g").agg(F.min("k").alias("a")), "g").select("a", F.col("k").alias("b")).distinct())
+    placed = open_.select("k", F.col("root").alias("class")).distinct().join(hung.select(F.col("node").alias("k"), F.col("root").alias("heap")), "k")
+    many = placed.groupBy("heap").agg(F.ceil(F.count("*") / CLOSING).cast("int").alias("blocks"))
+    placed = placed.join(many, "heap").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    placed = placed.join(texts, "k").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = placed.select("heap", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "k", "class", "text")
+
+    def compare(given: pa.Table) -> pa.Table:
+        got = forest(given.column("k").to_numpy(), given.column("class").to_numpy(), given.column("block").to_numpy(), given.column("text").to_pylist(), similarity)
+        kinds = [pa.int64(), pa.int64(), pa.float64()]
+        return pa.table({n: pa.array(c, t) for n, t, c in zip(("a", "b", "similarity"), kinds, zip(*got, strict=True) if got else ((), (), ()), strict=True)})
+
+    return met.groupBy("heap", "i", "j").applyInArrow(compare, "a long, b long, similarity double")
+
+
 def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified pairs of different texts that suffice to connect their classes, as (a, b, similarity) of text keys; and (k, root)."""
     rows = docs.select(F.xxhash64("text").alias("k"), "text").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     # copies of a text fall into its groups once each; what follows needs groups of several texts only
     member = settle(groups(rows))  # read twice
-    leader = member.groupBy("g").agg(F.min("k").alias("a"), F.max("k").alias("last")).filter("a <> last").select("g", "a")
-    member = settle(member.join(leader, "g").select("g", "k", "a").distinct())
+    # a text that lies amidst many others is in large groups: it leads, for most of them are near it
+    size = member.groupBy("g").agg(F.count("*").alias("n"), F.min("k").alias("k0"), F.max("k").alias("k1")).filter("k0 <> k1").select("g", "n")
+    member = settle(member.join(size, "g").groupBy("g", "k").agg(F.first("n").alias("n")))
+    weight = member.groupBy("k").agg(F.sum("n").alias("weight"))
+    rated = member.join(weight, "k").select("g", "k", F.struct("weight", "k").alias("rating"))
+    leader = rated.groupBy("g").agg(F.max("rating").alias("lead"))
+    member = settle(rated.select("g", "k").join(leader, "g"))
     texts = settle(rows.join(member.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.min("text").alias("text")))
 
-    first = member.groupBy("k").agg(F.min("a").alias("a")).filter("a <> k").select("a", F.col("k").alias("b"))
+    first = member.groupBy("k").agg(F.max("lead").alias("lead")).filter("lead.k <> k").select(F.col("lead.k").alias("a"), F.col("k").alias("b"))
+    member = member.select("g", "k", F.col("lead.k").alias("a"))
     found = settle(verified(first, texts, similarity))
     roots = components(found)
 
@@ -167,19 +234,7 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
         mixed = placed.groupBy("g").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("g")
         return placed.join(mixed, "g", "left_semi")
 
-    open_ = settle(several(roots))
-    lead = open_.filter("k = a").select("g", F.col("root").alias("lead_root"))
-    second = open_.join(lead, "g").filter("root <> lead_root").select("a", F.col("k").alias("b")).distinct()
-    second = second.join(first, ["a", "b"], "left_anti")
-    found = settle(found.union(verified(second, texts, similarity)))
-    roots = components(found)
-
-    open_ = settle(several(roots)).select("g", "k", "root")
-    other = open_.select("g", F.col("k").alias("a"), F.col("root").alias("other"))
-    third = open_.join(other, "g").filter("root > other").groupBy("a", F.col("k").alias("b")).count().filter(F.col("count") >= MEETINGS)
-    tried = first.union(second).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    third = third.select("a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).join(tried, ["x", "y"], "left_anti")
-    found = settle(found.union(verified(third, texts, similarity)))
+    found = settle(found.union(closing(several(roots), texts, similarity)))
     return found, components(found)
 
 
@@ -195,5 +250,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     return out.select("doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_texts", F.lit(1)).alias("n_texts"))
 
 
+def first_of_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """docs, all columns, with one row of each class: its smallest id's (of several, the smallest text's hash). Rows without words stay."""
+    _, roots = links(docs.select(F.col(text_col).alias("text")), similarity)
+    worded = F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.filter(worded).select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_k"))
+    placed = rows.join(roots, F.col("_k") == F.col("node"), "left").select("_id", "_k", F.coalesce("root", "_k").alias("root"))
+    first = placed.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_k")).alias("f")).select("f._id", "f._k")
+    mine = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.when(worded, F.xxhash64(text_col)) == F.col("_k"))
+    kept = docs.join(first, mine, "left_semi")
+    again = rows.join(first.select(F.col("_id").alias("i"), F.col("_k").alias("j")), F.col("_id").eqNullSafe(F.col("i")) & (F.col("_k") == F.col("j")), "left_semi").groupBy("_id", "_k").count().filter("count > 1")
+    if not again.isEmpty():  # rows with the same id and text: one of each
+        again = again.select("_id", "_k")
+        kept = kept.join(again, mine, "left_anti").unionByName(kept.join(again, mine, "left_semi").dropDuplicates([id_col, text_col]))
+    return kept.unionByName(docs.filter(~F.coalesce(worded, F.lit(False))))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents", "doc_id", "text"))

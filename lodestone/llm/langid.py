@@ -23,8 +23,8 @@ SLOTS, SIZES = 1 << 13, (1, 2, 3)
 PER_LANGUAGE, LANDMARKS, TRAIN_CHARS, RIDGE = 300, 24, 20_000, 1e-3
 #: Characters that are hashed at once, and texts scored at once.
 STRETCH, TEXTS = 1 << 20, 128
-#: A document is rejected below this score: no language's regression is then above zero.
-REJECT_BELOW = 0.5
+#: A document is rejected if its kernel with the nearest landmark is below this: it is like no text that was learned from.
+REJECT_BELOW = 0.02
 
 
 def held_out(doc_id: Column) -> Column:
@@ -74,18 +74,20 @@ def fit(rows: list[tuple[str, str]]) -> dict | None:
     return {"languages": languages, "landmarks": landmarks.astype(np.uint8), "coef": (root @ coef).astype(np.float32)}
 
 
-def score(model: dict | None, landmarks: np.ndarray | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+def score(model: dict | None, landmarks: np.ndarray | None, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+    """Language, score, and kernel with the nearest landmark of each text."""
+    langs, scores, nearest = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     if model is None:
-        return langs, scores
+        return langs, scores, nearest
     some = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
     for lo in range(0, len(some), TEXTS):
         part = some[lo : lo + TEXTS]
-        values = kernel(matrix([texts[i] for i in part]), landmarks) @ model["coef"]
+        k_x = kernel(matrix([texts[i] for i in part]), landmarks)
+        values, near = k_x @ model["coef"], k_x.max(1).tolist()
         best = values.argmax(1)
-        for i, k, v in zip(part, best.tolist(), values[np.arange(len(part)), best].tolist(), strict=True):
-            langs[i], scores[i] = model["languages"][k], min(1.0, max(0.0, (v + 1) / 2))
-    return langs, scores
+        for i, k, v, x in zip(part, best.tolist(), values[np.arange(len(part)), best].tolist(), near, strict=True):
+            langs[i], scores[i], nearest[i] = model["languages"][k], min(1.0, max(0.0, (v + 1) / 2)), x
+    return langs, scores, nearest
 
 
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
@@ -111,14 +113,14 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     def run(batches):
         landmarks = model.value and model.value["landmarks"].astype(np.float32)
         for batch in batches:
-            langs, scores = score(model.value, landmarks, batch.column(2).to_pylist())
+            langs, scores, _ = score(model.value, landmarks, batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return in_python(rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, reject_below: float = REJECT_BELOW) -> DataFrame:
-    """docs, all columns, without the rows whose text has no letter or fits no language."""
+    """docs, all columns, without the rows whose text has no letter or is like no text that was learned from."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     model = docs.sparkSession.sparkContext.broadcast(fit(sample(rows)))
     at = docs.columns.index("text")
@@ -126,8 +128,8 @@ def accepted(docs: DataFrame, reject_below: float = REJECT_BELOW) -> DataFrame:
     def run(batches):
         landmarks = model.value and model.value["landmarks"].astype(np.float32)
         for batch in batches:
-            langs, scores = score(model.value, landmarks, batch.column(at).to_pylist())
-            yield batch.filter(pa.array([lang != "und" and s >= reject_below for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
+            langs, _, near = score(model.value, landmarks, batch.column(at).to_pylist())
+            yield batch.filter(pa.array([lang != "und" and x >= reject_below for lang, x in zip(langs, near, strict=True)], pa.bool_()))
 
     return in_python(docs, run, docs.schema)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lodestone.llm import licenses
+from lodestone.llm.ann import op6_ann
 from lodestone.llm.bpe import op3_bpe
 from lodestone.llm.decontaminate import op10_decontaminate
 from lodestone.llm.langid import op4_langid
@@ -15,8 +17,8 @@ from lodestone.llm.urls import op5_url_filter
 
 
 def queries() -> dict:
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_near_dedup": op2_near_dedup, "op3_bpe": op3_bpe, "op4_langid": op4_langid, "op5_url_filter": op5_url_filter, "op7_license_scan": op7_license_scan, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_decontaminate": op10_decontaminate}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_near_dedup": op2_near_dedup, "op3_bpe": op3_bpe, "op4_langid": op4_langid, "op5_url_filter": op5_url_filter, "op6_ann": op6_ann, "op7_license_scan": op7_license_scan, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_decontaminate": op10_decontaminate, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {"op7_license_scan": licenses.ORACLE_SQL}
+    return {"op6_ann": op6_ann, "op7_license_scan": licenses.ORACLE_SQL}

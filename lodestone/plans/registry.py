@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that have QUERIES and ORACLE_SQL.
-MODULES = ["retrieval", "pages"]
+MODULES = ["retrieval", "pages", "graphs"]
 
 
 def _all(name: str) -> dict:

@@ -106,17 +106,11 @@ def sent(keys: list[int], texts: list[bytes], size: int, buckets: int, chunk: in
 
 
 def judged(bucket: int, rows: list[tuple[int, bytes, bytes, bytes, bytes]]):
-    """Rows (key, chunk, bucket, bits) of one bucket's rows (chunk, keys, counts, hashes, known)."""
+    """Rows (chunk, bucket, keys, sizes, bits) of one bucket's rows (chunk, keys, counts, hashes, known): the texts of a chunk
+    that have repeated windows in the bucket, and their bits one after the other."""
     if bucket < 0:
         for chunk, keys, counts, bits, _ in rows:
-            ks, at = np.frombuffer(keys, np.int64).tolist(), 0
-            if not counts:
-                for k in ks:
-                    yield k, ALL, ALL, b""
-            else:
-                for k, n in zip(ks, np.frombuffer(counts, np.uint32).tolist(), strict=True):
-                    yield k, chunk, OWN, bits[at : at + n]
-                    at += n
+            yield chunk, OWN if counts else ALL, keys, counts, bits
         return
     hashes = np.frombuffer(b"".join([r[3] for r in rows]), np.uint64)
     known = np.unique(np.frombuffer(b"".join([r[4] for r in rows]), np.uint64))
@@ -129,27 +123,42 @@ def judged(bucket: int, rows: list[tuple[int, bytes, bytes, bytes, bytes]]):
     at = 0
     for chunk, keys, counts, _, _ in rows:
         sizes = np.frombuffer(counts, np.uint32).astype(np.int64)
+        if not len(sizes):
+            continue
         ends = at + np.cumsum(sizes)
-        sums = np.concatenate([[0], np.cumsum(again[at : ends[-1] if len(ends) else at])])
-        hit = np.flatnonzero(sums[ends - at] > sums[ends - sizes - at]) if len(ends) else []
-        ks = np.frombuffer(keys, np.int64)
-        for i in hit:
-            yield int(ks[i]), chunk, bucket, np.packbits(again[ends[i] - sizes[i] : ends[i]]).tobytes()
-        at = int(ends[-1]) if len(ends) else at
-
-
-def repeated(text: bytes, size: int, buckets: int, told: list[tuple[int, int, bytes]]) -> np.ndarray:
-    """Which windows of a text repeat; told: (chunk, bucket, bits) of this text."""
+        sums = np.concatenate([[0], np.cumsum(again[at : ends[-1]])])
+        hit = np.flatnonzero(sums[ends - at] > sums[ends - sizes - at])
+        bits = [np.packbits(again[ends[i] - sizes[i] : ends[i]]) for i in hit]
+        if bits:
+            yield chunk, bucket, np.frombuffer(keys, np.int64)[hit].tobytes(), np.array([len(x) for x in bits], np.uint32).tobytes(), np.concatenate(bits).tobytes()
+        at = int(ends[-1])
+
+
+def gathered(rows) -> list[tuple[int, int, list]]:
+    """(key, chunk, told) of the texts of a chunk from its rows (chunk, bucket, keys, sizes, bits); told: (bucket, bits)."""
+    out, full = {}, []
+    for chunk, bucket, keys, sizes, bits in rows:
+        ks, at = np.frombuffer(keys, np.int64).tolist(), 0
+        if bucket == ALL:
+            full += [(k, ALL, []) for k in ks]
+            continue
+        for k, n in zip(ks, np.frombuffer(sizes, np.uint32).tolist(), strict=True):
+            out.setdefault((k, chunk), []).append({"bucket": bucket, "bits": bits[at : at + n]})
+            at += n
+    return full + [(k, chunk, told) for (k, chunk), told in out.items()]
+
+
+def repeated(text: bytes, size: int, buckets: int, told: list[tuple[int, list[tuple[int, bytes]]]]) -> np.ndarray:
+    """Which windows of a text repeat; told: of each chunk that the text was in, (chunk, [(bucket, bits)])."""
     n = max(0, len(text.split()) - size + 1)
     out = np.zeros(n, bool)
     if not told or not n:
         return out
-    if any(b == ALL for _, b, _ in told):
+    if any(chunk == ALL for chunk, _ in told):
         return ~out
     _, bucket, _ = window_hashes([text], size, buckets)
     unpack = lambda bits, m: np.unpackbits(np.frombuffer(bits, np.uint8), count=m).astype(bool)
-    for chunk in {c for c, _, _ in told}:
-        mine = [(b, bits) for c, b, bits in told if c == chunk]
+    for _, mine in told:
         own = next((unpack(bits, n) for b, bits in mine if b == OWN), np.zeros(n, bool))
         out |= own
         for b, bits in mine:
@@ -201,19 +210,22 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
     NAMES = ["bucket", "chunk", "keys", "counts", "hashes", "known"]
     KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    SCHEMA = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())])
+    JUDGED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("sizes", pa.binary()), ("bits", pa.binary())])
+    TOLD = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("told", pa.list_(pa.struct([("bucket", pa.int64()), ("bits", pa.binary())])))])
+    as_table = lambda got, schema: pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), schema, strict=True)], schema=schema) if got else schema.empty_table()
 
     def count(given: pa.Table) -> pa.Table:
-        by: dict[int, list] = {}
-        for b, *row in zip(*[given.column(c).to_pylist() for c in NAMES], strict=True):
-            by.setdefault(b, []).append(row)
-        got = [x for b, found in by.items() for x in judged(b if b >= 0 else OWN, found)]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), SCHEMA, strict=True)], schema=SCHEMA) if got else SCHEMA.empty_table()
+        of = [list(row) for row in zip(*[given.column(c).to_pylist() for c in NAMES[1:]], strict=True)]
+        return as_table(list(judged(given.column("bucket")[0].as_py(), of)), JUDGED)
+
+    def gather(given: pa.Table) -> pa.Table:
+        return as_table(gathered(zip(*[given.column(c).to_pylist() for c in JUDGED.names], strict=True)), TOLD)
 
     flags = rows.select("key", "text").mapInArrow(read, "bucket long, chunk long, keys binary, counts binary, hashes binary, known binary")
-    flags = settle(flags.groupBy("bucket").applyInArrow(count, "key long, chunk long, bucket long, bits binary"))
+    flags = flags.groupBy("bucket").applyInArrow(count, "chunk long, bucket long, keys binary, sizes binary, bits binary")
+    flags = settle(flags.groupBy("chunk").applyInArrow(gather, "key long, chunk long, told array<struct<bucket:long,bits:binary>>"))
     free_shuffles(spark)
-    told = flags.groupBy("key").agg(F.collect_set(F.struct("chunk", "bucket", "bits")).alias("told"))
+    told = flags.groupBy("key").agg(F.collect_set(F.struct("chunk", "told")).alias("told"))
     tail = ", kept string, removed array<struct<start:long,end:long>>" if keep else ""
 
     def cut(batches):
@@ -222,7 +234,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
             for i, t, x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 raw = t.encode()
                 w = raw.split()
-                gone = intervals(repeated(raw, size, buckets, [(y["chunk"], y["bucket"], y["bits"]) for y in x or ()]), size)
+                gone = intervals(repeated(raw, size, buckets, [(y["chunk"], [(z["bucket"], z["bits"]) for z in y["told"]]) for y in x or ()]), size)
                 left, end = [], 0
                 for s, e in gone:
                     left += w[end:s]

@@ -3,7 +3,8 @@
 Voters read a text and say toxic, clean or nothing: fixed lexicons, lexicons and word beginnings (patterns) that go with
 label 1 in the training rows, and patterns of the whole text. A generative label model with a hidden true label estimates
 each voter's accuracy by expectation maximisation, started from the training labels, and the voters' correlations given the
-label; a voter's evidence is divided by what it shares with others. Its posterior labels of the sample train a linear
+label; a voter's evidence is divided by what it shares with others;
+the row's own label is a voter of fixed accuracy. Its posterior labels of the sample train a linear
 classifier (logistic regression) on the presence of words and word beginnings, which scores all texts.
 
 Fitted to at most SAMPLE labelled rows, none longer than TRAIN_CHARS (documented bounds); every text is scored whole.
@@ -26,6 +27,8 @@ from lodestone.llm.common import in_python, table
 SAMPLE, TRAIN_CHARS = 6000, 20_000
 FEATURES, CACHE = 4000, 400_000
 LEAST_G, LEAST_ODDS = 20.0, 4.0
+#: Log odds of a training label, as a voter.
+LABEL_ODDS = 3.0
 #: Fixed lexicons: insults that are toxic in most contexts.
 LEXICONS = (
     ("idiot", "idiots", "moron", "morons", "imbecile", "dumb", "dumbass"),
@@ -101,7 +104,8 @@ def label_model(v: np.ndarray, start: np.ndarray, rounds: int = 25) -> np.ndarra
         np.fill_diagonal(common, 1)
         share = 1 / np.where(common > 0.3, common, 0).sum(1).clip(1)
         evidence = np.einsum("nvs,vs,v->n", says, np.log(p[1]) - np.log(p[0]), share) + np.log(prior[1] / prior[0])
-        q = 1 / (1 + np.exp(-np.clip(evidence, -30, 30)))
+        # the row's own label is one more voter, of fixed accuracy: it keeps the hidden label the one that is meant
+        q = 1 / (1 + np.exp(-np.clip(evidence + LABEL_ODDS * (2 * start - 1), -30, 30)))
     return q
 
 

@@ -13,6 +13,8 @@ from lodestone.plans.features import NUMBERS, surface_sql
 from lodestone.sources.tables import table
 
 P, DEPTH, ALPHA = 0.9, 100, 0.05
+#: Means of ten numbers of six digits have seven: eight leave no tie to round.
+DIGITS = 8
 
 
 def _rows(spark, sf_dir):
@@ -31,16 +33,16 @@ def kendall_per_query(spark, sf_dir):
     return S.kendall(_rows(spark, sf_dir)).withColumn("coef", F.round("coef", 6))
 
 
-def _rounded(tests):
-    return tests.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in tests.dtypes])
+def _rounded(tests, digits: int = 6):
+    return tests.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in tests.dtypes])
 
 
 def ttest_features(spark, sf_dir):
-    return _rounded(S.t_test(spearman_per_query(spark, sf_dir)))
+    return _rounded(S.t_test(spearman_per_query(spark, sf_dir)), DIGITS)
 
 
 def bh_fdr(spark, sf_dir):
-    return _rounded(S.benjamini_hochberg(S.t_test(spearman_per_query(spark, sf_dir)), alpha=ALPHA))
+    return _rounded(S.benjamini_hochberg(S.t_test(spearman_per_query(spark, sf_dir)), alpha=ALPHA), DIGITS)
 
 
 def tau_rho_agreement(spark, sf_dir):
@@ -98,7 +100,7 @@ tau AS MATERIALIZED (SELECT query_id, feature, round(s / nullif(sqrt(nx::DOUBLE
 TESTS = f"""{RHO}, t0 AS (SELECT feature, count(coef) AS n, avg(coef) AS mean, stddev_samp(coef) AS std FROM rho GROUP BY feature),
 t1 AS (SELECT *, std / sqrt(n) AS se, mean / nullif(std / sqrt(n), 0) AS t FROM t0), t2 AS (SELECT *, atan(abs(t) / 3) AS th FROM t1),
 tests AS (SELECT feature, n, mean, std, se, t, greatest(1 - 2 / pi() * (th + sin(th) * (cos(th) + 2.0::DOUBLE / 3 * cos(th) ** 3 + 8.0::DOUBLE / 15 * cos(th) ** 5 + 48.0::DOUBLE / 105 * cos(th) ** 7)), 0) AS p_value FROM t2)"""
-ROUNDED = "feature, n, round(mean, 6) AS mean, round(std, 6) AS std, round(se, 6) AS se, round(t, 6) AS t, round(p_value, 6) AS p_value"
+ROUNDED = "feature, n, " + ", ".join(f"round({c}, {DIGITS}) AS {c}" for c in ("mean", "std", "se", "t", "p_value"))
 RBO = f"""{R.BM25}, {R.TFIDF},
 ln AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, doc_id) AS doc_rank FROM qs CROSS JOIN documents),
 rks AS (SELECT 'bm25' AS model, query_id, doc_id, doc_rank FROM bm_rank WHERE doc_rank <= {DEPTH} UNION ALL SELECT 'tfidf', query_id, doc_id, doc_rank FROM ti_rank WHERE doc_rank <= {DEPTH} UNION ALL SELECT 'length', query_id, doc_id, doc_rank FROM ln WHERE doc_rank <= {DEPTH}),
@@ -117,7 +119,7 @@ ORACLE_SQL = {
     "kendall_per_query": f"WITH {LONG}, {TAU} SELECT query_id, feature, coef FROM tau",
     "ttest_features": f"WITH {TESTS} SELECT {ROUNDED} FROM tests",
     "bh_fdr": f"""WITH {TESTS}, b0 AS (SELECT *, row_number() OVER (ORDER BY p_value, feature) AS i, count(*) OVER () AS m FROM tests),
-b1 AS (SELECT *, least(min(p_value * m / i) OVER (ORDER BY i DESC), 1) AS pc FROM b0) SELECT {ROUNDED}, round(pc, 6) AS p_corrected, pc <= {ALPHA} AS significant FROM b1""",
+b1 AS (SELECT *, least(min(p_value * m / i) OVER (ORDER BY i DESC), 1) AS pc FROM b0) SELECT {ROUNDED}, round(pc, {DIGITS}) AS p_corrected, pc <= {ALPHA} AS significant FROM b1""",
     "tau_rho_agreement": f"""WITH {RHO}, {TAU}, ag AS (SELECT tau.coef AS x, rho.coef AS y FROM tau JOIN rho USING (query_id, feature) WHERE tau.coef IS NOT NULL AND rho.coef IS NOT NULL),
 ar AS (SELECT *, {mean_rank("x", "")} AS rx, {mean_rank("y", "")} AS ry FROM ag)
 SELECT count(*) AS n_cells, round({corr("x", "y")}, 6) AS pearson_r, round({corr("rx", "ry")}, 6) AS spearman_rho, round(avg(y - x), 6) AS mean_signed_diff, round(avg(abs(y - x)), 6) AS mean_abs_diff,

@@ -28,7 +28,7 @@ def text_corpus(spark: SparkSession, path: str) -> DataFrame:
 
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
     stem = F.regexp_replace(F.element_at(F.split(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "/"), -1), r"\.txt$", "")
-    body = F.trim(F.regexp_replace(F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "^﻿", ""), "�", ""))
+    body = F.trim(F.regexp_replace(F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^﻿", ""), "�", ""))
     rows = raw.select(stem.alias("doc_id"), title_from_stem(stem).alias("title"), body.alias("body"))
     return rows.withColumn("text", F.concat_ws(" ", "title", "body"))
 

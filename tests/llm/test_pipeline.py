@@ -35,3 +35,7 @@ def test_eleven_queries_are_registered():
 
 def test_overlapping_spans_are_masked_together():
     assert pii.mask("x 1234567 y", [(1, 2, 6), (2, 4, 9)]) == "x <IP> y"
+
+
+def test_sql_is_text_of_registered_queries():
+    assert all(isinstance(v, str) and k in registry.queries() for k, v in registry.oracle_sql().items())

@@ -34,7 +34,16 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lodestone-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discard(*settled: DataFrame) -> None:
+    """Deletes settled tables that nothing reads any more, so that the shared folder holds no more than a job needs."""
+    for df in settled:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._settled_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:

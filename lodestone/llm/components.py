@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import settle
+from lodestone.llm.common import discard, settle
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -23,6 +23,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         hung = large.join(small, "b").select("root", F.explode(F.array("a", "b")).alias("b")).filter("root <> b").select(F.col("root").alias("a"), "b").distinct()
         after = settle(hung)
         same = [df.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("b", "a") % 1000003)).first() for df in (now, after)]
+        discard(now)
         now = after
         if same[0] == same[1]:
             break

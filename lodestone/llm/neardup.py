@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import in_python, settle, table
+from lodestone.llm.common import discard, in_python, settle, table
 from lodestone.llm.components import components
 from lodestone.llm.rolling import WORD_BASE, U, mix, stretches, windows, words
 
@@ -212,19 +212,23 @@ def closing(open_: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified pairs of different texts that suffice to connect their classes, as (a, b, similarity) of text keys; and (k, root)."""
     rows = docs.select(F.xxhash64("text").alias("k"), "text").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    # copies of a text fall into its groups once each; what follows needs groups of several texts only
-    member = settle(groups(rows))  # read twice
+    # each text once, copies going before the shuffle: from here on no key has more rows than there are different texts
+    distinct = settle(rows.groupBy("k").agg(F.min("text").alias("text")))
+    every = settle(groups(distinct))  # read twice
     # a text that lies amidst many others is in large groups: it leads, for most of them are near it
-    size = member.groupBy("g").agg(F.count("*").alias("n"), F.min("k").alias("k0"), F.max("k").alias("k1")).filter("k0 <> k1").select("g", "n")
-    member = settle(member.join(size, "g").groupBy("g", "k").agg(F.first("n").alias("n")))
-    weight = member.groupBy("k").agg(F.sum("n").alias("weight"))
-    rated = member.join(weight, "k").select("g", "k", F.struct("weight", "k").alias("rating"))
+    size = every.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = settle(every.join(size, "g").select("g", "k", "n"))
+    discard(every)
+    weight = shared.groupBy("k").agg(F.sum("n").alias("weight"))
+    rated = shared.join(weight, "k").select("g", "k", F.struct("weight", "k").alias("rating"))
     leader = rated.groupBy("g").agg(F.max("rating").alias("lead"))
-    member = settle(rated.select("g", "k").join(leader, "g"))
-    texts = settle(rows.join(member.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.min("text").alias("text")))
+    led = settle(rated.select("g", "k").join(leader, "g"))
+    discard(shared)
+    texts = settle(distinct.join(led.select("k").distinct(), "k", "left_semi"))
+    discard(distinct)
 
-    first = member.groupBy("k").agg(F.max("lead").alias("lead")).filter("lead.k <> k").select(F.col("lead.k").alias("a"), F.col("k").alias("b"))
-    member = member.select("g", "k", F.col("lead.k").alias("a"))
+    first = led.groupBy("k").agg(F.max("lead").alias("lead")).filter("lead.k <> k").select(F.col("lead.k").alias("a"), F.col("k").alias("b"))
+    member = led.select("g", "k", F.col("lead.k").alias("a"))
     found = settle(verified(first, texts, similarity))
     roots = components(found)
 
@@ -234,7 +238,9 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
         mixed = placed.groupBy("g").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("g")
         return placed.join(mixed, "g", "left_semi")
 
-    found = settle(found.union(closing(several(roots), texts, similarity)))
+    more = settle(closing(several(roots), texts, similarity))
+    discard(led, texts)
+    found = found.union(more)
     return found, components(found)
 
 

@@ -241,7 +241,8 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     more = settle(closing(several(roots), texts, similarity))
     discard(led, texts)
     found = found.union(more)
-    return found, components(found)
+    # settled, so that Spark deals both sides of the joins that follow and can split a text or class of very many rows
+    return found, settle(components(found))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -249,9 +250,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     _, roots = links(given, similarity)
     rows = given.select("doc_id", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.xxhash64("text")).alias("k"))
-    placed = rows.join(roots.withColumnRenamed("node", "k"), "k", "left").select("doc_id", "k", F.coalesce("root", "k").alias("root"))
+    placed = settle(rows.join(roots.withColumnRenamed("node", "k"), "k", "left").select("doc_id", "k", F.coalesce("root", "k").alias("root")))
     texts = placed.filter("root is not null").groupBy("root", "k").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
-    size = texts.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("n_texts"))
+    size = settle(texts.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("n_texts")))
     out = placed.join(size, "root", "left")
     return out.select("doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_texts", F.lit(1)).alias("n_texts"))
 

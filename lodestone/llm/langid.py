@@ -5,6 +5,11 @@ their own numbers. N-grams are hashed to SLOTS. Landmarks from the training rows
 k(x, landmarks) K^(-1/2); one-versus-rest kernel ridge regression on them gives one value per language, near 1 for its own
 and near -1 for the others. Texts are scored in batches, by products of presence matrices.
 
+Likeness says whether a text is like those that were learned from at all: the share of its letter trigrams (exact, a blank for
+each run of other characters) that training rows hold, less the share that the text's own letters would reach in random order,
+over the most that this can be. Neither share depends on the text's length. A trigram is known if RARE of a language's rows
+hold it, one at least. The limit is set from held-out training rows: half of them teach, the others are measured.
+
 The model is fitted to at most PER_LANGUAGE rows of each language, none longer than TRAIN_CHARS (documented bounds of the
 sample); every text is scored whole. Defined results: a text that is null or has no letter is `und` with score 0, as are
 all texts where there is nothing to learn from; ties go to the language that sorts first; rows are kept one to one.
@@ -12,6 +17,9 @@ all texts where there is nothing to learn from; ties go to the language that sor
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,8 +31,10 @@ SLOTS, SIZES = 1 << 13, (1, 2, 3)
 PER_LANGUAGE, LANDMARKS, TRAIN_CHARS, RIDGE = 300, 24, 20_000, 1e-3
 #: Characters that are hashed at once, and texts scored at once.
 STRETCH, TEXTS = 1 << 20, 128
-#: A document is rejected if its kernel with the nearest landmark is below this: it is like no text that was learned from.
-REJECT_BELOW = 0.02
+#: A trigram is known if this share of a language's training rows hold it.
+RARE = 0.02
+#: A document is rejected if its likeness is below this share of the median of held-out training rows, or below LEAST.
+REJECT_BELOW, LEAST = 0.5, 0.1
 
 
 def held_out(doc_id: Column) -> Column:
@@ -56,6 +66,74 @@ def kernel(x: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     return (x @ landmarks.T) / np.maximum(own[:, None] * theirs[None], 1e-9)
 
 
+@functools.lru_cache(1)
+def letters() -> np.ndarray:
+    """By code point, whether it is a letter or a mark on one."""
+    return np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
+
+
+def spelled(text: str, places: np.ndarray):
+    """Numbers of a text's characters by places, 0 for each run of others than letters and at both ends; in stretches that
+    overlap by two."""
+    last = np.zeros(1, places.dtype)
+    for at in range(0, len(text), STRETCH):
+        codes = np.frombuffer(text[at : at + STRETCH].lower().encode("utf-32-le", "replace"), np.uint32)
+        x = np.concatenate([last, places[codes], last[:0] if at + STRETCH < len(text) else np.zeros(1, places.dtype)])
+        x = x[np.concatenate([[True], (x[1:] != 0) | (x[:-1] != 0)])]
+        yield x
+        last = x[-2:]
+
+
+def trigrams(x: np.ndarray, base: int) -> np.ndarray:
+    x = x.astype(np.int64)
+    return (x[:-2] * base + x[1:-1]) * base + x[2:]
+
+
+def learned(rows: list[tuple[str, str]]) -> dict:
+    """The letters of the rows, and the trigrams known from them."""
+    alphabet = np.array(sorted({ord(c) for _, text in rows for c in text.lower()}), np.int64)
+    alphabet = alphabet[letters()[alphabet]] if len(alphabet) else alphabet
+    places, base, known = placed(alphabet), len(alphabet) + 2, [np.zeros(0, np.int64)]
+    for lang in sorted({lang for lang, _ in rows}):
+        held = [np.unique(np.concatenate([trigrams(x, base) for x in spelled(text, places)])) for of, text in rows if of == lang]
+        found, times = np.unique(np.concatenate(held), return_counts=True)
+        known.append(found[times >= max(1.0, RARE * len(held))])
+    return {"alphabet": alphabet, "known": np.unique(np.concatenate(known))}
+
+
+def placed(alphabet: np.ndarray) -> np.ndarray:
+    """By code point: 0 for what is no letter, the place in the alphabet from 1 on, and one more for other letters."""
+    places = np.where(letters(), len(alphabet) + 1, 0).astype(np.int32)
+    places[alphabet] = np.arange(1, len(alphabet) + 1)
+    return places
+
+
+def likeness(seen: dict, texts: list[str]) -> list[float]:
+    """1 if all trigrams of a text are known, about 0 if no more are than by chance."""
+    alphabet, known = seen["alphabet"], seen["known"]
+    places, base, out = placed(alphabet), len(alphabet) + 2, []
+    of = (known // base**2, known // base % base, known % base)
+    for text in texts:
+        n = hits = 0
+        counts = np.zeros(base)
+        for x in spelled(text, places):
+            h = trigrams(x, base)
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            n, hits, counts = n + len(h), hits + int((known[at] == h).sum()) if len(known) else 0, counts + np.bincount(x, minlength=base)
+        p = counts / max(counts.sum(), 1)
+        # no two blanks stand side by side
+        chance = float((p[of[0]] * p[of[1]] * p[of[2]]).sum()) / max(1 - 2 * p[0] ** 2 + p[0] ** 3, 1e-9)
+        out.append(0.0 if not n else 1.0 if hits == n else (hits / n - chance) / max(1 - chance, 1e-9))
+    return out
+
+
+def usual(rows: list[tuple[str, str]]) -> float:
+    """Median likeness of half the training rows, by what the other half teaches."""
+    by = {lang: [row for row in rows if row[0] == lang] for lang in {lang for lang, _ in rows}}
+    teach, rest = [row for same in by.values() for row in same[::2]], [text for same in by.values() for _, text in same[1::2]]
+    return float(np.median(likeness(learned(teach), rest))) if rest else 0.0
+
+
 def fit(rows: list[tuple[str, str]]) -> dict | None:
     """rows: (language, text), in the order of preference for landmarks."""
     languages = sorted({lang for lang, _ in rows})
@@ -74,20 +152,29 @@ def fit(rows: list[tuple[str, str]]) -> dict | None:
     return {"languages": languages, "landmarks": landmarks.astype(np.uint8), "coef": (root @ coef).astype(np.float32)}
 
 
-def score(model: dict | None, landmarks: np.ndarray | None, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
-    """Language, score, and kernel with the nearest landmark of each text."""
-    langs, scores, nearest = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+def fit_likeness(rows: list[tuple[str, str]]) -> dict:
+    """What likeness() needs, and the median of held-out training rows."""
+    languages = sorted({lang for lang, _ in rows})
+    rows = [row for lang in languages for row in [r for r in rows if r[0] == lang][:PER_LANGUAGE]]
+    return learned(rows) | {"usual": usual(rows)}
+
+
+def lettered(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
+def score(model: dict | None, landmarks: np.ndarray | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    langs, scores = ["und"] * len(texts), [0.0] * len(texts)
     if model is None:
-        return langs, scores, nearest
-    some = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
+        return langs, scores
+    some = [i for i, t in enumerate(texts) if lettered(t)]
     for lo in range(0, len(some), TEXTS):
         part = some[lo : lo + TEXTS]
-        k_x = kernel(matrix([texts[i] for i in part]), landmarks)
-        values, near = k_x @ model["coef"], k_x.max(1).tolist()
+        values = kernel(matrix([texts[i] for i in part]), landmarks) @ model["coef"]
         best = values.argmax(1)
-        for i, k, v, x in zip(part, best.tolist(), values[np.arange(len(part)), best].tolist(), near, strict=True):
-            langs[i], scores[i], nearest[i] = model["languages"][k], min(1.0, max(0.0, (v + 1) / 2)), x
-    return langs, scores, nearest
+        for i, k, v in zip(part, best.tolist(), values[np.arange(len(part)), best].tolist(), strict=True):
+            langs[i], scores[i] = model["languages"][k], min(1.0, max(0.0, (v + 1) / 2))
+    return langs, scores
 
 
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
@@ -113,7 +200,7 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     def run(batches):
         landmarks = model.value and model.value["landmarks"].astype(np.float32)
         for batch in batches:
-            langs, scores, _ = score(model.value, landmarks, batch.column(2).to_pylist())
+            langs, scores = score(model.value, landmarks, batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return in_python(rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), run, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -122,14 +209,16 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def accepted(docs: DataFrame, reject_below: float = REJECT_BELOW) -> DataFrame:
     """docs, all columns, without the rows whose text has no letter or is like no text that was learned from."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    model = docs.sparkSession.sparkContext.broadcast(fit(sample(rows)))
+    seen = docs.sparkSession.sparkContext.broadcast(fit_likeness(sample(rows)))
     at = docs.columns.index("text")
 
     def run(batches):
-        landmarks = model.value and model.value["landmarks"].astype(np.float32)
+        limit = max(LEAST, reject_below * seen.value["usual"])
         for batch in batches:
-            langs, _, near = score(model.value, landmarks, batch.column(at).to_pylist())
-            yield batch.filter(pa.array([lang != "und" and x >= reject_below for lang, x in zip(langs, near, strict=True)], pa.bool_()))
+            texts = batch.column(at).to_pylist()
+            some = [i for i, t in enumerate(texts) if lettered(t)]
+            like = dict(zip(some, likeness(seen.value, [texts[i] for i in some]), strict=True))
+            yield batch.filter(pa.array([like.get(i, 0.0) >= limit for i in range(len(texts))], pa.bool_()))
 
     return in_python(docs, run, docs.schema)
 

@@ -126,6 +126,32 @@ def test_language_identification(spark):
     assert langid.predict(docs.limit(0)).count() == 0
 
 
+def test_foreign_and_junk_texts_are_rejected_at_any_length(spark):
+    words = {"en": "the of and to in is that for house garden rain hill before cat", "de": "der die und zu das nicht ein ich haus garten regen berg vor katze"}
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(words[lang].split(), (8, 40, 1000)[i % 3])), lang) for i in range(120) for lang in [list(words)[i % 2]]]
+    kinds = [
+        [chr(c) for c in range(0x4E00, 0x9000)], [chr(c) for c in range(0x430, 0x450)] + [" "] * 6, [chr(c) for c in range(0xE01, 0xE3B)],
+        list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), list("abcdefghijklmnopqrstuvwxyz    "),
+    ]
+    junk = [(1000 + i, "".join(rng.choice(kind, n)), None) for i, (kind, n) in enumerate((k, n) for k in kinds for n in (40, 100, 1000, 5000, 200_000))]
+    junk += [(2000, "", "en"), (2001, "123 !!", "en")]
+    more = [(3000, "the rain of that garden 12345 http://a.example", None), (3001, "Das Haus", None)]
+    docs = spark.createDataFrame(rows + junk + more, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in langid.accepted(docs).collect()} == {i for i, *_ in rows + more}
+
+
+def test_likeness_does_not_depend_on_where_a_text_is_cut(monkeypatch):
+    rows = [("en", "the cat and the dog sat -- in the sun"), ("en", "rain on the hill")]
+    seen, texts = langid.learned(rows), ["the rain -- and 日本 the cow", "a", "hill"]
+    whole = langid.likeness(seen, texts)
+    monkeypatch.setattr(langid, "STRETCH", 1 << 10)
+    assert langid.likeness(seen, texts) == whole and whole[2] == 1.0
+    long = langid.likeness(seen, [" ".join(texts[:1] * 1000)])[0]
+    monkeypatch.setattr(langid, "STRETCH", 1 << 20)
+    assert abs(langid.likeness(seen, [" ".join(texts[:1] * 1000)])[0] - long) < 0.01
+
+
 def test_urls(spark):
     rows = [
         (1, "http://A.Example.COM/en/1?x", "a.example.com", "/en/1", "example.com/en/", "block"), (2, "https://www.example.com/en/", "www.example.com", "/en/", "www.example.com/en/", "allow"),

@@ -57,12 +57,11 @@ def bigrams(words: Column) -> Column:
 
 
 def units(text: Column) -> Column:
-    """Normalised lines and paragraphs of several lines; the form feed stands for a blank line."""
+    """Normalised lines and paragraphs of several lines; a line without a letter or digit is a blank line."""
     kept = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\r\n?", "\n")
     kept = F.regexp_replace(kept, r"[^\p{L}\p{N}\n]+", " ")
     lines = F.split(kept, "\n")
-    blocks = F.when(F.instr(kept, "\n\n") > 0, F.split(kept, r"\n\s*\n")).otherwise(F.array(kept))
-    several = F.transform(F.filter(blocks, lambda b: F.instr(F.trim(b), "\n") > 0), lambda b: F.translate(b, "\n", " "))
+    several = F.transform(F.filter(F.split(kept, r"\n\s*\n"), lambda b: F.instr(F.trim(b), "\n") > 0), lambda b: F.translate(b, "\n", " "))
     return F.concat(lines, several)
 
 

@@ -203,6 +203,29 @@ def test_licenses(spark):
     assert found == sorted(want, key=str)
 
 
+HEADER = """{0} Copyright 2020 The Authors of this work and of its many parts
+{0}
+{0} This program is free software: you can redistribute it and/or modify it under the terms
+{0} of the GNU General Public License as published by the Free Software Foundation, either
+{0} version 3 of the License, or (at your option) any later version.
+{0}
+{0} This program is distributed in the hope that it will be useful, but without any warranty;
+{0} not even the implied warranty of merchantability or fitness for a particular purpose.
+"""
+
+
+def test_licenses_in_comment_headers(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(i, HEADER.format(sign)) for i, sign in enumerate((" *", "#", "//", "  ", "--", ""))]
+    rows += [(10, HEADER.format("#").replace("\n", "\r\n")), (11, "/*\n" + HEADER.format(" *") + " */\n\nint main() {\n}\n"), (12, None), (13, "# \n#\n \n")]
+    found = sorted([tuple(r) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()])
+    assert [r[:4] for r in found] == [(i, 1, "GPL-3.0", "GPL-3.0") if i < 12 else (i, 0, "", None) for i, _ in rows]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert found == sorted(con.execute(licenses.ORACLE_SQL).fetchall())
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(3)
     rows, labels = [], []

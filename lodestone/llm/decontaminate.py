@@ -15,8 +15,8 @@ five-word shingles, is SIMILARITY or more. The steps:
 
 A pair of similarity 0.8 or more is beyond the radius with probability under 0.01 at 0.8 itself, falling fast above it.
 
-Defined results: words are lower-cased runs of letters and digits; items of fewer than five words are not searched; items
-of equal words are found together; null and empty texts hold nothing; a window is cut at the text's ends; repeated rows each
+Defined results: words are lower-cased runs of letters and digits; an item of fewer than five words is one shingle of its own
+words, found where the text holds just these, and once a text; items of equal words are found together; null and empty texts hold nothing; a window is cut at the text's ends; repeated rows each
 get their result; columns other than ids and texts are not read.
 """
 
@@ -38,16 +38,24 @@ LEAST_BITS, MOST_BITS = 1 << 16, 1 << 23
 BROADCAST_ROWS = 1_000_000
 
 
-def shingle_hashes(words: Column) -> Column:
-    """Hash of each five words, by place; empty if there are fewer."""
+def shingle_hashes(words: Column, n: int = SHINGLE) -> Column:
+    """Hash of each n words, by place; empty if there are fewer."""
 
     def of(w: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(w) - SHINGLE)
-        return F.when(F.size(w) >= SHINGLE, F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))).otherwise(F.array().cast("array<long>"))
+        at = F.sequence(F.lit(0), F.size(w) - n)
+        return F.when(F.size(w) >= n, F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))).otherwise(F.array().cast("array<long>"))
 
     return let(words, of)
 
 
+def item_hashes(words: Column, n_words: Column) -> Column:
+    """Shingles of words that stand against an item of n_words: of five words, or of all if the item has fewer."""
+    out = shingle_hashes(words)
+    for n in range(1, SHINGLE):
+        out = F.when(n_words == n, shingle_hashes(words, n)).otherwise(out)
+    return out
+
+
 def tagged(hashes: Column) -> Column:
     """A multiset of hashes as a set: each hash with the number of its earlier occurrences."""
     numbered = F.transform(hashes, lambda h, i: F.xxhash64(h, F.size(F.filter(F.slice(hashes, 1, i), lambda x: x == h))))
@@ -67,10 +75,15 @@ def simhash(hashes: Column) -> Column:
     return F.array(*[part(p) for p in range(PARTS)])
 
 
-def hits_of(words: Column, bits: Column, size: int) -> Column:
-    """(place, h) of the shingles that the bit table lets through."""
+def hits_of(words: Column, bits: Column, size: int, short: list[int]) -> Column:
+    """(place, h) of the shingles that the bit table lets through; those of short items' sizes at their first place only."""
     hashes = shingle_hashes(words)
-    return F.filter(F.transform(hashes, lambda h, i: F.when(in_table(h, bits, size), F.struct(i.alias("place"), h.alias("h")))), lambda x: x.isNotNull())
+    hits = F.filter(F.transform(hashes, lambda h, i: F.when(in_table(h, bits, size), F.struct(i.alias("place"), h.alias("h")))), lambda x: x.isNotNull())
+
+    def first(hashes: Column) -> Column:
+        return F.transform(F.filter(F.array_distinct(hashes), lambda h: in_table(h, bits, size)), lambda h: F.struct((F.array_position(hashes, h) - 1).cast("int").alias("place"), h.alias("h")))
+
+    return F.concat(hits, *[let(shingle_hashes(words, n), first) for n in short]) if short else hits
 
 
 def _shift(h: Column, by: Column) -> Column:
@@ -95,8 +108,8 @@ def known_items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(words, item_ids, n_words, hashes, fingerprint) of different items."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), plain(F.col(text_col)).alias("said")).filter("said <> ''")
     rows = rows.groupBy("said").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    rows = rows.withColumn("words", F.split("said", " ")).filter(F.size("words") >= SHINGLE)
-    rows = rows.select("said", "item_ids", F.size("words").alias("n_words"), shingle_hashes(F.col("words")).alias("hashes"))
+    rows = rows.withColumn("words", F.split("said", " "))
+    rows = rows.select("said", "item_ids", F.size("words").alias("n_words"), item_hashes(F.col("words"), F.size("words")).alias("hashes"))
     return rows.select("*", simhash(F.col("hashes")).alias("fingerprint"))
 
 
@@ -141,11 +154,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     anchors = settle(anchor_rows(items, similarity))
     n_anchors = anchors.count()
     bits, size = bit_table(anchors, n_anchors)
+    short = sorted(r["n_words"] for r in items.filter(F.col("n_words") < SHINGLE).select("n_words").distinct().collect())
     if n_anchors <= BROADCAST_ROWS:
         anchors = F.broadcast(anchors)  # the size is checked
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    met = let(F.split(plain(F.col(text_col)), " "), lambda w: F.struct(w.alias("words"), hits_of(w, bits, size).alias("hits")))
+    met = let(F.split(plain(F.col(text_col)), " "), lambda w: F.struct(w.alias("words"), hits_of(w, bits, size, short).alias("hits")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), met.alias("met")).filter(F.size("met.hits") > 0)
     met = rows.select("doc_id", "key", F.col("met.words").alias("words"), F.explode("met.hits").alias("hit"))
     met = met.select("doc_id", "key", "words", "hit.place", "hit.h").join(anchors, "h")
@@ -153,7 +167,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     window = F.array_join(F.slice("words", start + 1, F.col("n_words")), " ")
     met = settle(met.select("doc_id", "key", "n_words", start.alias("start"), window.alias("window")).distinct())
 
-    windows = met.select("n_words", "window").distinct().withColumn("theirs", shingle_hashes(F.split("window", " "))).filter(F.size("theirs") > 0)
+    windows = met.select("n_words", "window").distinct().withColumn("theirs", item_hashes(F.split("window", " "), F.col("n_words"))).filter(F.size("theirs") > 0)
     windows = settle(windows.withColumn("print", simhash(F.col("theirs"))))
     cut = lambda df, fingerprint: df.select("*", F.posexplode(blocks(F.col(fingerprint))).alias("block", "value"))
     pairs = cut(windows.select("n_words", "window", "print"), "print").join(cut(items.select("n_words", "said", "fingerprint"), "fingerprint"), ["n_words", "block", "value"])

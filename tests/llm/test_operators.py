@@ -300,3 +300,14 @@ def test_decontamination_against_brute_force(spark):
     assert sorted(r["doc_id"] for r in decontaminate.clean(docs, table).collect()) == sorted(i for i, ids in want if not ids)
     assert decontaminate.clean(docs, table).columns == docs.columns
     assert decontaminate.contaminated(docs.limit(0), table).count() == 0 and decontaminate.clean(docs, table.limit(0)).count() == len(rows)
+
+
+def test_short_benchmark_items_are_matched_exactly(spark):
+    items = [(1, "What is love?"), (2, "Yes"), (3, "one two three four"), (4, "what is LOVE"), (5, " ".join(WORDS[:7])), (6, "!")]
+    rows = [(1, "so, what is love; what is love"), (2, "what is this love"), (3, "yes yes yes " * 50), (4, "yesterday"), (5, "zero one two three four"), (6, "one two three"), (7, "yes"), (8, "a " + " ".join(WORDS[:7])), (9, " ".join(WORDS[:3])), (None, "what is love"), (10, None), (11, "")]
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {1: [1, 4], 3: [2], 5: [3], 7: [2], 8: [5], None: [1, 4]}
+    found = decontaminate.contaminated(docs, table).collect()
+    assert len(found) == len(rows)
+    assert {r["doc_id"]: list(r["item_ids"]) for r in found if r["contaminated"]} == want and all(r["best_similarity"] == float(r["contaminated"]) for r in found)
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, table).collect()) == [2, 4, 6, 9, 10, 11]

@@ -87,8 +87,9 @@ def tables(queries: np.ndarray, books: np.ndarray) -> np.ndarray:
 
 def scan(lut: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Approximate scores (rows) of one query's table."""
-    flat = lut.astype(np.uint16)
-    out = np.zeros(len(codes), np.uint16)
+    wide = np.uint16 if codes.shape[1] * 255 <= np.iinfo(np.uint16).max else np.uint32  # a sum must not wrap
+    flat = lut.astype(wide)
+    out = np.zeros(len(codes), wide)
     for p in range(codes.shape[1]):
         out += flat[p][codes[:, p]]
     return out

@@ -196,6 +196,14 @@ def test_ann_recall_and_scores(spark):
     assert ann.search(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [16, 257, 258, 1000])
+def test_ann_scan_sums_do_not_wrap(parts):
+    lut = np.zeros((parts, ann.CENTRES), np.uint8)
+    lut[:, 1], lut[:, 2] = 255, 254
+    codes = np.repeat(np.arange(3, dtype=np.uint8)[:, None], parts, 1)
+    assert ann.scan(lut, codes).tolist() == [0, 255 * parts, 254 * parts]
+
+
 def test_licenses(spark):
     rows = [(1, "x\nReleased under the MIT License.\ny"), (2, "released UNDER the  mit license!"), (3, "All rights reserved.\n\nThis program is free software: you can redistribute it and/or modify it under\nthe terms of the GNU General Public License as published by the Free Software Foundation, either\nversion 3 of the License, or (at your option) any later version."), (4, None), (5, ""), (5, "no licence in this text " * 400), (None, "a\nb")]
     found = sorted([tuple(r)[:4] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("name", F.lit(1))).collect()], key=str)

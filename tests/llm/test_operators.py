@@ -276,6 +276,46 @@ def test_plain_lines_are_all_outside():
     assert all(set(x) == {0} for x in pii.viterbi(model, [["The", "phone", "number", "of", "card", "holders"], ["call"], WORDS[:0] or ["x"]]))
 
 
+def test_field_adds_numbers_that_run_on():
+    model = pii.train()
+    lines = ["was +1 (826) 555-4081 190.137.223.204 du anviou", "so 7536784127813050 4845168114407329 aique", "a 4111111111111111 4000000000000002 b", "row 12 8812734 0.25 then 7536784127813051 97"]
+    base = [pii.base_spans(t) for t in lines]
+    found = [[(pii.KINDS[k], lines[i][s:e]) for k, s, e in f] for i, f in enumerate(pii.added_spans(model, lines, base))]
+    valid = [x for x in ("7536784127813050", "4845168114407329") if pii.luhn(x)]
+    assert found == [[("phone", "+1 (826) 555-4081")], [("card", x) for x in valid], [("card", "4111111111111111"), ("card", "4000000000000002")], []]
+
+
+def test_viterbi_against_enumeration():
+    """The best of all label sequences, by the definition of a linear chain."""
+    import itertools
+
+    model = pii.train()
+    lines = [["call", "(212)", "555-0147"], ["at", "4111111111111111", "12"], ["x"], ["write", "a[at]b.org"], []]
+    for words, labels in zip(lines, pii.viterbi(model, lines), strict=True):
+        scores = np.zeros((len(words), pii.N_LABELS))
+        for t, found in enumerate(pii.placed(words)):
+            scores[t] = sum([model["w"][model["names"][x]] for x in found if x in model["names"]], np.zeros(pii.N_LABELS))
+            if not pii.may_begin(words[t]):
+                scores[t, 1::2] += pii.NEVER
+
+        def value(path):
+            return model["begin"][path[0]] + sum(scores[t, y] for t, y in enumerate(path)) + sum(model["trans"][a, b] for a, b in itertools.pairwise(path))
+
+        assert not words or labels == list(max(itertools.product(range(pii.N_LABELS), repeat=len(words)), key=value))
+
+
+def test_a_long_line_among_short_ones_takes_little_memory():
+    import tracemalloc
+
+    model = pii.train()
+    text = "word 12345 " * 10_000 + "\n" + "\n".join(["a 1 b"] * 255)
+    pii.added_spans(model, ["warm 1 up"], [[]])
+    tracemalloc.start()
+    assert pii.added_spans(model, [text], [pii.base_spans(text)]) == [[]]
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
+
+
 def test_decontamination_against_brute_force(spark):
     items = [(1, " ".join(WORDS[:30])), (2, " ".join(WORDS[50:64])), (3, "too few words"), (4, " ".join(WORDS[:30]).upper()), (5, None), (6, "r r r r r r r r r r")]
     edited = WORDS[:30].copy()

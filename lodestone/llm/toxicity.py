@@ -1,15 +1,17 @@
 """Toxicity by weak supervision.
 
 Voters read a text and say toxic, clean or nothing: fixed lexicons, lexicons and word beginnings (patterns) that go with
-label 1 in the training rows, and patterns of the whole text. A generative label model with a hidden true label estimates
-each voter's accuracy by expectation maximisation, started from the training labels, and the voters' correlations given the
-label; a voter's evidence is divided by what it shares with others;
-the row's own label is a voter of fixed accuracy. Its posterior labels of the sample train a linear
-classifier (logistic regression) on the presence of words and word beginnings, which scores all texts.
+label 1 in some of the training rows, and patterns of the whole text. Labels are asked in this search for voters alone, on one
+half of the sample's different texts (texts that share the least hash of their five-word stretches count once, so near copies
+do not speak twice). On the other half, whose labels nobody reads, a generative label model with a hidden true label
+estimates each voter's accuracy by expectation maximisation, started from the accuracies on the first half, and the voters'
+correlations given the label; a voter's evidence is divided by what it shares with others. Then the halves change places. The
+posterior labels of all train a linear classifier (logistic regression) on the presence of words and word beginnings, which scores all texts.
 
 Fitted to at most SAMPLE labelled rows, none longer than TRAIN_CHARS (documented bounds); every text is scored whole.
 Defined results: a null or empty text has no features and gets the classifier's intercept; without training rows all
-scores are 0; a document that has several labels is learned with its largest; rows are kept one to one.
+scores are 0; a document that has several labels is learned with its largest; a label without id or without a document teaches
+nothing; equal scores stay equal, whatever the id; an empty table gives no rows; rows are kept one to one.
 """
 
 from __future__ import annotations
@@ -23,12 +25,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import in_python, table
+from lodestone.llm.neardup import weighted
 
 SAMPLE, TRAIN_CHARS = 6000, 20_000
 FEATURES, CACHE = 4000, 400_000
 LEAST_G, LEAST_ODDS = 20.0, 4.0
-#: Log odds of a training label, as a voter.
-LABEL_ODDS = 3.0
+#: Rows that a voter's accuracy where it was found counts for in expectation maximisation.
+ADVANCE = 3000.0
+#: Different texts that must hold a feature.
+LEAST_TEXTS = 4
 #: Fixed lexicons: insults that are toxic in most contexts.
 LEXICONS = (
     ("idiot", "idiots", "moron", "morons", "imbecile", "dumb", "dumbass"),
@@ -36,7 +41,7 @@ LEXICONS = (
     ("scum", "trash", "garbage", "filth", "vermin", "loser", "losers", "clown", "clowns", "pig", "rat"),
     ("hate", "kill", "die", "hurt", "destroy"),
 )
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7)
 EDGES = ".,;:!?\"'()[]{}<>*_-%$&#|+=~^/\\"
 SHOUT = re.compile(r"!!+")
 
@@ -63,7 +68,7 @@ def associated(texts: list[set[str]], q: np.ndarray) -> list[str]:
     rated = []
     for f, k in on.items():
         c = off[f]
-        if k < 4 or (k + 0.5) * n0 < LEAST_ODDS * (c + 0.5) * n1:
+        if k < LEAST_TEXTS or (k + 0.5) * n0 < LEAST_ODDS * (c + 0.5) * n1:
             continue
         e1 = (k + c) * n1 / (n1 + n0)
         g = 2 * (k * np.log(k / e1) + (c * np.log(c / (k + c - e1)) if c else 0))
@@ -83,29 +88,37 @@ def votes(texts: list[set[str]], raw: list[str], voters: list[tuple[str, frozens
     return np.array([*named, none, few, shout], float).T
 
 
-def label_model(v: np.ndarray, start: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Posterior of label 1 for each row of votes."""
-    q = np.clip(start.astype(float), 0.05, 0.95)
+def accuracies(v: np.ndarray, q: np.ndarray, before: np.ndarray | float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of voters, given each row's probability of label 1: how often each says what for either label, the labels' shares, and
+    what share of a voter's evidence is its own. before: what is counted in advance."""
     says = np.stack([v == -1, v == 0, v == 1], 2).astype(float)
-    share = np.ones(v.shape[1])
+    w = np.stack([1 - q, q])
+    p = np.einsum("yn,nvs->yvs", w, says) + before
+    p /= p.sum(2, keepdims=True)
+    prior = (w.sum(1) + 1) / (len(q) + 2)
+    # correlations given the label, of what voters say beyond its mean
+    common = np.zeros((v.shape[1], v.shape[1]))
+    for y in range(2):
+        mean = (w[y][:, None] * v).sum(0) / max(w[y].sum(), 1e-9)
+        c = (w[y][:, None] * (v - mean)).T @ (v - mean)
+        d = np.sqrt(np.maximum(np.diag(c), 1e-9))
+        common += prior[y] * np.abs(c / d[:, None] / d[None])
+    np.fill_diagonal(common, 1)
+    return p, prior, 1 / np.where(common > 0.3, common, 0).sum(1).clip(1)
+
+
+def posterior(v: np.ndarray, p: np.ndarray, prior: np.ndarray, share: np.ndarray) -> np.ndarray:
+    says = np.stack([v == -1, v == 0, v == 1], 2).astype(float)
+    evidence = np.einsum("nvs,vs,v->n", says, np.log(p[1]) - np.log(p[0]), share) + np.log(prior[1] / prior[0])
+    return 1 / (1 + np.exp(-np.clip(evidence, -30, 30)))
+
+
+def label_model(v: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray], rounds: int = 25) -> np.ndarray:
+    """Posterior of label 1 for each row of votes, by expectation maximisation. found: the voters' accuracies where they were
+    found; they are the start, and a Dirichlet prior of ADVANCE rows for each label, so that the label stays the one meant."""
+    q = posterior(v, *found)
     for _ in range(rounds):
-        w = np.stack([1 - q, q])
-        # accuracies: how often each voter says what, for either label
-        p = np.einsum("yn,nvs->yvs", w, says) + 0.5
-        p /= p.sum(2, keepdims=True)
-        prior = (w.sum(1) + 1) / (len(q) + 2)
-        # correlations given the label, of what voters say beyond its mean
-        common = np.zeros((v.shape[1], v.shape[1]))
-        for y in range(2):
-            mean = (w[y][:, None] * v).sum(0) / max(w[y].sum(), 1e-9)
-            c = (w[y][:, None] * (v - mean)).T @ (v - mean)
-            d = np.sqrt(np.maximum(np.diag(c), 1e-9))
-            common += prior[y] * np.abs(c / d[:, None] / d[None])
-        np.fill_diagonal(common, 1)
-        share = 1 / np.where(common > 0.3, common, 0).sum(1).clip(1)
-        evidence = np.einsum("nvs,vs,v->n", says, np.log(p[1]) - np.log(p[0]), share) + np.log(prior[1] / prior[0])
-        # the row's own label is one more voter, of fixed accuracy: it keeps the hidden label the one that is meant
-        q = 1 / (1 + np.exp(-np.clip(evidence + LABEL_ODDS * (2 * start - 1), -30, 30)))
+        q = posterior(v, *accuracies(v, np.clip(q, 0.05, 0.95), ADVANCE * found[0]))
     return q
 
 
@@ -127,17 +140,40 @@ def train_linear(x: list[np.ndarray], n: int, q: np.ndarray, rounds: int = 300,
     return b, w
 
 
+def different(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """One row of those that share the least hash of their five-word stretches, with the largest label among them."""
+    doc, h, _ = weighted([t for t, _ in rows])
+    least: dict[int, int] = {}
+    for d, x in zip(doc.tolist(), h.tolist(), strict=True):
+        least.setdefault(d, x)  # a text's hashes are sorted
+    out: dict[int | None, tuple[str, int]] = {}
+    for d, (text, y) in enumerate(rows):
+        key = least.get(d)
+        first, most = out.get(key, (text, 0))
+        out[key] = (first, max(most, int(bool(y))))
+    return list(out.values())
+
+
+def voters_of(texts: list[set[str]], labels: np.ndarray) -> list[tuple[str, frozenset]]:
+    """The fixed lexicons, and those mined from labelled texts."""
+    mined = associated(texts, labels)
+    words, begins = [f for f in mined if not f.endswith("~")], [f for f in mined if f.endswith("~")][:60]
+    out = [(f"lexicon {i}", frozenset(x)) for i, x in enumerate(LEXICONS)]
+    out += [(f"mined {i}", frozenset(words[i::20])) for i in range(20) if words[i::20]]
+    return out + [(f"begins {f}", frozenset([f])) for f in begins]
+
+
 def fit(rows: list[tuple[str, int]]) -> dict | None:
     if not rows:
         return None
-    raw = [t for t, _ in rows]
-    texts, labels = [words_of(t) for t in raw], np.array([int(bool(y)) for _, y in rows])
-    mined = associated(texts, labels)
-    words, begins = [f for f in mined if not f.endswith("~")], [f for f in mined if f.endswith("~")][:60]
-    voters = [(f"lexicon {i}", frozenset(x)) for i, x in enumerate(LEXICONS)]
-    voters += [(f"mined {i}", frozenset(words[i::20])) for i in range(20) if words[i::20]]
-    voters += [(f"begins {f}", frozenset([f])) for f in begins]
-    q = label_model(votes(texts, raw, voters), labels)
+    rows = different(rows)
+    texts, labels = [words_of(t) for t, _ in rows], np.array([y for _, y in rows], float)
+    half, q = np.arange(len(rows)) % 2, labels.copy()
+    for rest in (0, 1) if len(rows) > 1 else ():
+        mine, others = half != rest, half == rest
+        voters = voters_of([t for t, m in zip(texts, mine, strict=True) if m], labels[mine])
+        v = votes(texts, [t for t, _ in rows], voters)
+        q[others] = label_model(v[others], accuracies(v[mine], labels[mine]))
     # the classifier sees the words that tell posterior labels apart
     chosen = associated(texts, q)[:FEATURES]
     index = {f: i for i, f in enumerate(chosen)}

@@ -254,6 +254,29 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.predict(docs, table.limit(0)).collect()} == {0.0}
 
 
+def test_label_model_equals_bayes_by_enumeration():
+    """With voters that share nothing, the posterior is the product of their likelihoods."""
+    p = np.array([[[0.6, 0.3, 0.1], [0.5, 0.4, 0.1]], [[0.1, 0.3, 0.6], [0.2, 0.2, 0.6]]])
+    prior, votes = np.array([0.7, 0.3]), np.array([[1, 1], [1, -1], [0, 0], [-1, 0]], float)
+    for row, q in zip(votes, toxicity.posterior(votes, p, prior, np.ones(2)), strict=True):
+        said = [prior[y] * np.prod([p[y, v, int(x) + 1] for v, x in enumerate(row)]) for y in (0, 1)]
+        assert abs(q - said[1] / sum(said)) < 1e-12
+    # a voter that is right nine times in ten is found out without labels, from a vague beginning
+    rng = np.random.default_rng(0)
+    truth = rng.random(3000) < 0.3
+    said = np.stack([np.where(rng.random(3000) < r, truth, ~truth) * 2.0 - 1 for r in (0.9, 0.85, 0.8)], 1)
+    vague = toxicity.accuracies(said[:40], truth[:40].astype(float))
+    found = toxicity.label_model(said, vague)
+    assert ((found >= 0.5) == truth).mean() > 0.93
+
+
+def test_copies_teach_once():
+    text = " ".join(WORDS[:30])
+    rows = [(text, 0), (text, 1), (text + " end", 0), ("other words here are five six", 0), ("", 0), ("", 1)]
+    kept = toxicity.different(rows)
+    assert kept[0] == (text, 1) and ("", 1) in kept and len(kept) in (3, 4)
+
+
 def test_pii_base_spans_and_field(spark):
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     tricky = "a@b@c.d a@@b.c x@y.z@w.v. @a.b a@b.c-d@e.f " + "a" * 300 + "@ q@r.s"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import tempfile
 import uuid
 
 import pyarrow as pa
@@ -22,20 +23,42 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one is set only where none is."""
+    """The folder that the cluster names for checkpoints; where none is named, one on this machine, for a local master only."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        found = "file:///tmp/checkpoints"
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
         sc.setCheckpointDir(found)
     return found
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, or longer ones where df has columns of these names already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _file_system(df: DataFrame, path: str):
+    """Hadoop's path, and the file system that holds it."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf())
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: cuts the lineage and outlives lost executors."""
+    """Writes df as Parquet into the shared folder and reads it again: cuts the lineage and outlives lost executors. The files
+    go when discard() is called, or at the end of the application."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lodestone-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at, store = _file_system(df, path)
+    store.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out
@@ -44,8 +67,8 @@ def settle(df: DataFrame) -> DataFrame:
 def discard(*settled: DataFrame) -> None:
     """Deletes settled tables that nothing reads any more, so that the shared folder holds no more than a job needs."""
     for df in settled:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._settled_at)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        at, store = _file_system(df, df._settled_at)
+        store.delete(at, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -8,16 +8,19 @@ five-word shingles, is SIMILARITY or more. The steps:
    bit table of all anchors, in the row (the table's size is bounded by BITS, whatever the benchmark's size; it only lets some
    through in vain), and the few that pass are joined with the anchors.
 2. Windows. Each anchor met gives the window that would be the item: as many words, at the anchor's offset. Windows of equal
-   words are one from here on, however many documents hold them.
+   words, for one item, are one from here on, however many documents hold them.
 3. SimHash: FINGERPRINT bits, weighted by the shingles' numbers. With BLOCKS = RADIUS + 1 blocks, two fingerprints within
-   RADIUS agree on a block; so the join on (item size, block, value) meets every pair within the radius.
+   RADIUS agree on a block; so the join on (item, block, value) meets every pair within the radius. The item is part of the
+   key, so a window meets the items whose anchors it holds and no others.
 4. Pairs within RADIUS are verified exactly.
 
 A pair of similarity 0.8 or more is beyond the radius with probability under 0.01 at 0.8 itself, falling fast above it.
 
 Defined results: words are lower-cased runs of letters and digits; an item of fewer than five words is one shingle of its own
-words, found where the text holds just these, and once a text; items of equal words are found together; null and empty texts hold nothing; a window is cut at the text's ends; repeated rows each
-get their result; columns other than ids and texts are not read.
+words, found where the text holds just these, and once a text; items of equal words are found together; null and empty texts
+hold nothing; empty tables give no rows and find nothing; a window is cut at the text's ends; texts of any length are read
+whole, in one row; repeated rows each get their result; of equally near items all are told; columns other than ids and texts
+are not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import let, plain, settle, table
+from lodestone.llm.common import fresh, let, plain, settle, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits of the fingerprint, in 64-bit parts; radius and blocks of BLOCK bits each.
@@ -105,21 +108,21 @@ def blocks(fingerprint: Column) -> Column:
 
 
 def known_items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(words, item_ids, n_words, hashes, fingerprint) of different items."""
+    """(item, item_ids, n_words, hashes, fingerprint) of different items; item is the hash of the words."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), plain(F.col(text_col)).alias("said")).filter("said <> ''")
     rows = rows.groupBy("said").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     rows = rows.withColumn("words", F.split("said", " "))
-    rows = rows.select("said", "item_ids", F.size("words").alias("n_words"), item_hashes(F.col("words"), F.size("words")).alias("hashes"))
+    rows = rows.select(F.xxhash64("said").alias("item"), "item_ids", F.size("words").alias("n_words"), item_hashes(F.col("words"), F.size("words")).alias("hashes"))
     return rows.select("*", simhash(F.col("hashes")).alias("fingerprint"))
 
 
 def anchor_rows(items: DataFrame, similarity: float) -> DataFrame:
-    """(h, n_words, at): an anchor, the item's size, and the anchor's places in it."""
+    """(h, item, n_words, at): an anchor, the item and its size, and the anchor's places in it."""
     need = F.floor((1 - similarity) * F.size("hashes") + 1e-9).cast("int") + 1
     first = F.slice(F.array_sort(F.array_distinct("hashes")), 1, need)
-    rows = items.select("n_words", "hashes", F.explode(first).alias("h"))
+    rows = items.select("item", "n_words", "hashes", F.explode(first).alias("h"))
     places = F.filter(F.transform("hashes", lambda x, i: F.when(x == F.col("h"), i)), lambda i: i.isNotNull())
-    return rows.select("h", "n_words", F.explode(places).alias("at")).distinct()
+    return rows.select("h", "item", "n_words", F.explode(places).alias("at"))
 
 
 def bit_table(anchors: DataFrame, n: int) -> tuple[Column, int]:
@@ -165,18 +168,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     met = met.select("doc_id", "key", "words", "hit.place", "hit.h").join(anchors, "h")
     start = F.greatest(F.col("place") - F.col("at"), F.lit(0))
     window = F.array_join(F.slice("words", start + 1, F.col("n_words")), " ")
-    met = settle(met.select("doc_id", "key", "n_words", start.alias("start"), window.alias("window")).distinct())
+    met = settle(met.select("doc_id", "key", "item", "n_words", start.alias("start"), window.alias("window")).distinct())
 
-    windows = met.select("n_words", "window").distinct().withColumn("theirs", item_hashes(F.split("window", " "), F.col("n_words"))).filter(F.size("theirs") > 0)
+    windows = met.select("item", "n_words", "window").distinct().withColumn("theirs", item_hashes(F.split("window", " "), F.col("n_words"))).filter(F.size("theirs") > 0)
     windows = settle(windows.withColumn("print", simhash(F.col("theirs"))))
     cut = lambda df, fingerprint: df.select("*", F.posexplode(blocks(F.col(fingerprint))).alias("block", "value"))
-    pairs = cut(windows.select("n_words", "window", "print"), "print").join(cut(items.select("n_words", "said", "fingerprint"), "fingerprint"), ["n_words", "block", "value"])
-    pairs = pairs.filter(distance(F.col("print"), F.col("fingerprint")) <= RADIUS).select("n_words", "window", "said").distinct()
+    pairs = cut(windows.select("item", "window", "print"), "print").join(cut(items.select("item", "fingerprint"), "fingerprint"), ["item", "block", "value"])
+    pairs = pairs.filter(distance(F.col("print"), F.col("fingerprint")) <= RADIUS).select("item", "window").distinct()
     a, b = tagged(F.col("theirs")), tagged(F.col("hashes"))
-    near = pairs.join(windows.select("n_words", "window", "theirs"), ["n_words", "window"]).join(items.select("said", "item_ids", "hashes"), "said")
-    near = near.select("n_words", "window", "item_ids", (F.size(F.array_intersect(a, b)).cast("double") / F.size(F.array_union(a, b))).alias("similarity"))
+    near = pairs.join(windows.select("item", "window", "theirs"), ["item", "window"]).join(items.select("item", "item_ids", "hashes"), "item")
+    near = near.select("item", "window", "item_ids", (F.size(F.array_intersect(a, b)).cast("double") / F.size(F.array_union(a, b))).alias("similarity"))
     near = near.filter(F.col("similarity") >= similarity)
-    return met.join(near, ["n_words", "window"]).select("doc_id", "key", "item_ids", "similarity", "start", "n_words")
+    return met.join(near, ["item", "window"]).select("doc_id", "key", "item_ids", "similarity", "start", "n_words")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -191,8 +194,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs, all columns, without the rows that hold a benchmark item."""
-    found = matches(docs, benchmark).select(F.col("doc_id").alias("_leak_id"), F.col("key").alias("_leak_key")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_leak_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_leak_key"))
+    i, k = fresh(docs, "leak_id", "leak_key")
+    found = matches(docs, benchmark).select(F.col("doc_id").alias(i), F.col("key").alias(k)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col(k))
     return docs.join(found, same, "left_anti")
 
 

@@ -14,7 +14,8 @@ A pair of similarity 0.8 shares no band with probability (1-0.8^4)^32 < 5e-8.
 
 Defined results: words are lower-cased and cut at white space; a text with fewer words than a shingle is one shingle; null
 texts and texts without words are near nothing, each row its own class; repeated rows are copies; a class's id is its smallest
-doc_id (rows without id have none to give); columns other than id and text are not read.
+doc_id (rows without id have none to give); texts of any length are compared whole; an empty table gives no rows; columns
+other than id and text are not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import discard, in_python, settle, table
+from lodestone.llm.common import discard, fresh, in_python, settle, table
 from lodestone.llm.components import components
 from lodestone.llm.rolling import WORD_BASE, U, mix, stretches, windows, words
 
@@ -260,15 +261,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 def first_of_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs, all columns, with one row of each class: its smallest id's (of several, the smallest text's hash). Rows without words stay."""
     _, roots = links(docs.select(F.col(text_col).alias("text")), similarity)
+    i, k = fresh(docs, "first_id", "first_key")
     worded = F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
-    rows = docs.filter(worded).select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_k"))
-    placed = rows.join(roots, F.col("_k") == F.col("node"), "left").select("_id", "_k", F.coalesce("root", "_k").alias("root"))
-    first = placed.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_k")).alias("f")).select("f._id", "f._k")
-    mine = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.when(worded, F.xxhash64(text_col)) == F.col("_k"))
+    rows = docs.filter(worded).select(F.col(id_col).cast("long").alias(i), F.xxhash64(text_col).alias(k))
+    placed = rows.join(roots, F.col(k) == F.col("node"), "left").select(i, k, F.coalesce("root", k).alias("root"))
+    first = placed.groupBy("root").agg(F.min(F.struct(F.col(i).isNull().alias("n"), i, k)).alias("f")).select(f"f.{i}", f"f.{k}")
+    mine = F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.when(worded, F.xxhash64(text_col)) == F.col(k))
     kept = docs.join(first, mine, "left_semi")
-    again = rows.join(first.select(F.col("_id").alias("i"), F.col("_k").alias("j")), F.col("_id").eqNullSafe(F.col("i")) & (F.col("_k") == F.col("j")), "left_semi").groupBy("_id", "_k").count().filter("count > 1")
+    again = rows.join(first.select(F.col(i).alias("i"), F.col(k).alias("j")), F.col(i).eqNullSafe(F.col("i")) & (F.col(k) == F.col("j")), "left_semi").groupBy(i, k).count().filter("count > 1")
     if not again.isEmpty():  # rows with the same id and text: one of each
-        again = again.select("_id", "_k")
+        again = again.select(i, k)
         kept = kept.join(again, mine, "left_anti").unionByName(kept.join(again, mine, "left_semi").dropDuplicates([id_col, text_col]))
     return kept.unionByName(docs.filter(~F.coalesce(worded, F.lit(False))))
 

@@ -10,9 +10,11 @@ each run of other characters) that training rows hold, less the share that the t
 over the most that this can be. Neither share depends on the text's length. A trigram is known if RARE of a language's rows
 hold it, one at least. The limit is set from held-out training rows: half of them teach, the others are measured.
 
-The model is fitted to at most PER_LANGUAGE rows of each language, none longer than TRAIN_CHARS (documented bounds of the
-sample); every text is scored whole. Defined results: a text that is null or has no letter is `und` with score 0, as are
-all texts where there is nothing to learn from; ties go to the language that sorts first; rows are kept one to one.
+The model is fitted to at most PER_LANGUAGE rows of each language and TOTAL of all, none longer than TRAIN_CHARS, of at most
+LANGUAGES languages (documented bounds of the sample); every text is scored whole, in stretches. Defined results: a text that
+is null or has no letter is `und` with score 0, as are all texts where there is nothing to learn from; ties go to the language
+that sorts first; a row without id is one to learn from; repeated rows get the same result each; an empty table gives no rows;
+rows are kept one to one; columns other than id, text and language are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from lodestone.llm.common import in_python, table
 
 SLOTS, SIZES = 1 << 13, (1, 2, 3)
 PER_LANGUAGE, LANDMARKS, TRAIN_CHARS, RIDGE = 300, 24, 20_000, 1e-3
+#: Languages that are learned at most, and rows of all of them.
+LANGUAGES, TOTAL = 200, 6000
 #: Characters that are hashed at once, and texts scored at once.
 STRETCH, TEXTS = 1 << 20, 128
 #: A trigram is known if this share of a language's training rows hold it.
@@ -178,18 +182,25 @@ def score(model: dict | None, landmarks: np.ndarray | None, texts: list[str | No
 
 
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """At most PER_LANGUAGE training rows of each language, by the order of a hash."""
+    """At most PER_LANGUAGE training rows of each language and TOTAL of all, by the order of a hash; of the LANGUAGES most frequent ones."""
     eligible = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= TRAIN_CHARS))
-    counts = {r["lang"]: r["count"] for r in docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).groupBy("lang").count().collect()}
+    counts = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["count"] for r in counts.collect()}
     if not counts:
         return []
-    share = F.lit(1.0)
+    each = max(2, min(PER_LANGUAGE, TOTAL // len(counts)))
+    share = F.lit(0.0)
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, 2.0 * PER_LANGUAGE / n)).otherwise(share)
+        share = F.when(F.col("lang") == lang, min(1.0, 2.0 * each / n)).otherwise(share)
     h = F.xxhash64("doc_id", "text")
     picked = eligible.filter(F.pmod(h, F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text", F.xxhash64("text", "doc_id").alias("h"))
-    rows = picked.orderBy("h", "lang", "text").limit(2 * PER_LANGUAGE * len(counts)).collect()
-    return [(r["lang"], r["text"]) for r in rows]
+    rows = picked.orderBy("h", "lang", "text").limit(2 * each * len(counts)).collect()
+    out, taken = [], dict.fromkeys(counts, 0)
+    for r in rows:
+        taken[r["lang"]] += 1
+        if taken[r["lang"]] <= each:
+            out.append((r["lang"], r["text"]))
+    return out
 
 
 def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -207,18 +218,27 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def accepted(docs: DataFrame, reject_below: float = REJECT_BELOW) -> DataFrame:
-    """docs, all columns, without the rows whose text has no letter or is like no text that was learned from."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    seen = docs.sparkSession.sparkContext.broadcast(fit_likeness(sample(rows)))
-    at = docs.columns.index("text")
+    """docs, all columns, without the rows whose text has no letter or is like no text that was learned from; a lang that is
+    null becomes the predicted one. Where there is nothing to learn from, only rows without a letter go, and lang stays."""
+    rows = sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))
+    seen = docs.sparkSession.sparkContext.broadcast((fit(rows), fit_likeness(rows) if rows else None))
+    text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches):
-        limit = max(LEAST, reject_below * seen.value["usual"])
+        model, known = seen.value
+        landmarks = model and model["landmarks"].astype(np.float32)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            some = [i for i, t in enumerate(texts) if lettered(t)]
-            like = dict(zip(some, likeness(seen.value, [texts[i] for i in some]), strict=True))
-            yield batch.filter(pa.array([like.get(i, 0.0) >= limit for i in range(len(texts))], pa.bool_()))
+            texts, langs = batch.column(text_at).to_pylist(), batch.column(lang_at).to_pylist()
+            keep = [i for i, t in enumerate(texts) if lettered(t)]
+            if known:
+                limit = max(LEAST, reject_below * known["usual"])
+                keep = [i for i, x in zip(keep, likeness(known, [texts[i] for i in keep]), strict=True) if x >= limit]
+            unknown = [i for i in keep if langs[i] is None] if model else []
+            for i, lang in zip(unknown, score(model, landmarks, [texts[i] for i in unknown])[0], strict=True):
+                langs[i] = lang
+            if unknown:
+                batch = batch.set_column(lang_at, batch.schema.field(lang_at).name, pa.array(langs, pa.string()))
+            yield batch.take(pa.array(keep, pa.int64()))
 
     return in_python(docs, run, docs.schema)
 

@@ -76,6 +76,17 @@ def test_near_duplicate_classes(docs):
     assert found == sorted(want, key=str)
 
 
+def test_columns_of_clashing_names_stay(spark, docs):
+    names = ["first_id", "first_key", "leak_id", "leak_key", "node", "root", "f", "i", "j", "k", "_id", "_k", "_leak_id"]
+    more = docs.select("*", *[F.lit(7).alias(n) for n in names])
+    kept = neardup.first_of_class(more)
+    assert kept.columns == more.columns and kept.count() == neardup.first_of_class(docs).count()
+    item = docs.sparkSession.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    left = decontaminate.clean(more, item)
+    assert left.columns == more.columns and sorted(r[0] for r in left.filter("doc_id is not null").select("doc_id").collect()) == [3, 4, 5, 7, 8, 9, 10, 11, 12]
+    assert neardup.first_of_class(docs.limit(0)).count() == 0 and neardup.classes(docs.limit(0)).count() == 0
+
+
 def test_first_of_class_keeps_one_of_each_and_all_columns(docs):
     kept = neardup.first_of_class(docs)
     assert kept.columns == docs.columns
@@ -141,6 +152,41 @@ def test_foreign_and_junk_texts_are_rejected_at_any_length(spark):
     assert {r["doc_id"] for r in langid.accepted(docs).collect()} == {i for i, *_ in rows + more}
 
 
+def test_language_stage_without_anything_to_learn_from(spark):
+    rows = [(1, "the cat", None, 1), (2, "日本語", None, 2), (3, "12 !", None, 3), (4, None, None, 4), (1, "the cat", None, 5), (None, "a", None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, keep int")
+    assert sorted(r["keep"] for r in langid.accepted(docs).collect()) == [1, 2, 5, 6]
+    assert langid.accepted(docs.limit(0)).count() == 0 and langid.accepted(docs).columns == docs.columns
+
+
+def test_language_stage_fills_in_the_language(spark):
+    words = {"en": "the of and to in is that for", "de": "der die und zu das nicht ein ich"}
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(words[lang].split(), 30)), lang if i < 90 else None, lang) for i in range(100) for lang in [list(words)[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, truth string")
+    kept = langid.accepted(docs).collect()
+    assert len(kept) == 100 and all(r["lang"] == r["truth"] for r in kept)
+
+
+def test_kernel_and_ridge_by_definition():
+    """The prediction from kernels of sets of n-grams and a ridge solved in the kernel's own space, on ten texts."""
+    rows = [("en", "the cat sat"), ("de", "die katze sitzt"), ("en", "a dog ran off"), ("de", "der hund lief weg"), ("en", "the sun is up"), ("de", "die sonne scheint"), ("en", "it rains again"), ("de", "es regnet wieder")]
+    grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    texts = [t for lang in ("de", "en") for x, t in rows if x == lang]
+    k = lambda a, b: len(grams(a) & grams(b)) / (len(grams(a)) * len(grams(b))) ** 0.5
+    gram = np.array([[k(a, b) for b in texts] for a in texts])
+    model = langid.fit(rows)
+    assert np.abs(langid.kernel(langid.matrix(texts), model["landmarks"].astype(np.float32)) - gram).max() < 0.05  # but for slots that collide
+    gram = langid.kernel(langid.matrix(texts), langid.matrix(texts)).astype(float)
+    y = np.repeat([0, 1], 4)
+    for lang in (0, 1):
+        t = np.where(y == lang, 1.0, -1.0)
+        # every text is a landmark, so that the features' products are the kernel: weighted ridge in dual form, each text weighing 1/8
+        alpha = np.linalg.solve(gram + langid.RIDGE / 8 / (1 / 8) * np.eye(8), t)
+        new = langid.matrix(["the katze is weg", "cat und dog"])
+        assert np.abs(langid.kernel(new, langid.matrix(texts)) @ alpha - langid.kernel(new, model["landmarks"].astype(np.float32)) @ model["coef"][:, lang]).max() < 0.02
+
+
 def test_likeness_does_not_depend_on_where_a_text_is_cut(monkeypatch):
     rows = [("en", "the cat and the dog sat -- in the sun"), ("en", "rain on the hill")]
     seen, texts = langid.learned(rows), ["the rain -- and 日本 the cow", "a", "hill"]

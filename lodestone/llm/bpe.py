@@ -6,12 +6,12 @@ a rank are merged from left to right, and only the lists of the pairs beside a m
 words gives each word what its own ascending order gives, for words do not touch.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to the empty text; texts of any length
-are encoded whole; rows are kept one to one, repeated ids too; other columns are not read.
+are encoded whole; of equal pairs the leftmost is merged first; an empty table gives no rows; rows are kept one to one,
+repeated ids too; other columns are not read. Words are kept between the batches of a task, at most CACHE of them.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import json
@@ -203,6 +203,9 @@ class PairIndexBPE:
             out.append((b"".join(ids), b"".join(raw).decode("utf-8", "replace").encode()))
         return out
 
+    def forget(self) -> None:
+        self.kept, self.words = {}, {}
+
     def decode(self, ids: list[int]) -> str:
         return self.bytes_of(np.array(ids, np.int64))[0].decode("utf-8", "replace")
 
@@ -215,7 +218,6 @@ def tokenizer(path: str) -> PairIndexBPE:
     if path not in _LOADED:
         if array("I").itemsize != 4 or sys.byteorder != "little":
             raise RuntimeError("ids are packed as little-endian 32-bit integers")
-        gc.disable()  # no cycles are made here, and the kept words are many
         _LOADED[path] = PairIndexBPE(path)
     return _LOADED[path]
 
@@ -246,6 +248,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 columns += [pa.array([i for i, _ in found], pa.binary()), pa.array([t.decode() for _, t in found], pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
+        bpe.forget()  # the worker stays, and what runs in it next needs the memory
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return in_python(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + tail)

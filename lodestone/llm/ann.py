@@ -12,7 +12,8 @@ block gets.
 
 Defined results: vectors that are null, all zero, of another length than most, or hold null or non-finite components take no
 part; ties go to the smaller vec_id; a query has fewer rows if there are fewer candidates; repeated rows are candidates each,
-but a query's own id never is; an empty table gives no rows.
+but a query's own id never is; a query id that has several vectors asks with the least of them, in the order of arrays; an
+empty table gives no rows; only id and vector are read.
 """
 
 from __future__ import annotations
@@ -149,7 +150,9 @@ def search(vectors: DataFrame, every: int = 20, top: int = TOP, rerank: int = RE
     sample = [r["v"] for r in drawn.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()] or [r["v"] for r in given.limit(SAMPLE).collect()]
     widen = lambda x: np.pad(x, ((0, 0), (0, pad)))
     books = spark.sparkContext.broadcast(fit(widen(np.array(sample))))
-    queries = blocked(given.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), QUERY_BLOCK, max(1, n // every)).select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
+    asked = given.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    n_asked = asked.count()
+    queries = blocked(asked, QUERY_BLOCK, max(1, n_asked)).select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
     queries = settle(queries)
 
     def add_codes(batches):
@@ -161,7 +164,7 @@ def search(vectors: DataFrame, every: int = 20, top: int = TOP, rerank: int = RE
     rows = blocked(given, ROW_BLOCK, n).mapInArrow(add_codes, "block int, ids binary, flat binary, codes binary")
     parts = (dims + pad) // SUBSPACE
     # each block of rows goes once to each block of queries; these are blocks, not rows, and the numbers are made without a join
-    many = max(1, -(-max(1, n // every) // QUERY_BLOCK))
+    many = max(1, -(-n_asked // QUERY_BLOCK))
     row_blocks = max(1, -(-n // ROW_BLOCK))
     met = settle(rows).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
     met = met.join(queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)))), ["q", "block"])

@@ -142,10 +142,11 @@ def train_linear(x: list[np.ndarray], n: int, q: np.ndarray, rounds: int = 300,
 
 def different(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     """One row of those that share the least hash of their five-word stretches, with the largest label among them."""
-    doc, h, _ = weighted([t for t, _ in rows])
     least: dict[int, int] = {}
-    for d, x in zip(doc.tolist(), h.tolist(), strict=True):
-        least.setdefault(d, x)  # a text's hashes are sorted
+    for lo in range(0, len(rows), 50):  # some texts at a time: their hashes take many times their size
+        doc, h, _ = weighted([t for t, _ in rows[lo : lo + 50]])
+        some, first = np.unique(doc, return_index=True)  # a text's hashes are sorted
+        least |= dict(zip((some + lo).tolist(), h[first].tolist(), strict=True))
     out: dict[int | None, tuple[str, int]] = {}
     for d, (text, y) in enumerate(rows):
         key = least.get(d)

@@ -242,6 +242,12 @@ def test_ann_recall_and_scores(spark):
     assert ann.search(table.limit(0)).count() == 0
 
 
+def test_a_repeated_query_id_asks_with_its_least_vector(spark):
+    table = spark.createDataFrame([(0, [2.0, 1.0, 0.0, 0.0]), (0, [1.0, 0.0, 0.0, 0.0]), (20, [1.0, 0.0, 0.0, 0.0]), (3, [0.0, 5.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    rows = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.search(table).collect()}
+    assert rows == {(0, 1): (20, 1.0), (0, 2): (3, 0.0), (20, 1): (0, 2.0), (20, 2): (0, 1.0), (20, 3): (3, 0.0)}
+
+
 @pytest.mark.parametrize("parts", [16, 257, 258, 1000])
 def test_ann_scan_sums_do_not_wrap(parts):
     lut = np.zeros((parts, ann.CENTRES), np.uint8)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ STOP_WORDS = (
     "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with",
 )
 TOKEN = r"[\p{L}\p{N}_]{2,}"
+#: A link's target.
+LINK = r'(?i)<a\s(?:[^>]*\s)?href="([^"]+)"'
 
 
 def let(value: Column, then) -> Column:
@@ -51,11 +55,27 @@ def safe_stem(title: Column, longest: int = 80) -> Column:
     return F.concat(clean, F.lit("_"), F.substring(F.sha1(title), 1, 10))
 
 
-def href_title(href: Column, prefix: str = "/") -> Column:
-    """Page title that a site-relative link leads to, null for other links."""
-    inner = F.substring_index(F.substring_index(F.substr(href, F.lit(len(prefix) + 1)), "#", 1), "?", 1)
+def href_title(href: Column, *prefixes: str) -> Column:
+    """Page title that a link with one of the prefixes (ignoring case; "/" if none is given) leads to, null for other links."""
+    rest = F.lit(None).cast("string")
+    for prefix in reversed(prefixes or ("/",)):
+        rest = F.when(F.lower(href).startswith(prefix.lower()), F.substr(href, F.lit(len(prefix) + 1))).otherwise(rest)
+    inner = F.substring_index(F.substring_index(rest, "#", 1), "?", 1)
     title = F.trim(F.translate(F.url_decode(F.replace(inner, F.lit("+"), F.lit("%2B"))), "_", " "))
-    return F.when(href.startswith(prefix) & (title != ""), title)
+    return F.when(title != "", title)
+
+
+def page_url(title: Column, prefix: str = "/") -> Column:
+    """The link to a page: blanks become underscores, all but letters, digits and -._~ is percent-encoded."""
+    out = F.url_encode(F.translate(F.trim(title), " ", "_"))
+    for made, wanted in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(made), F.lit(wanted))
+    return F.concat(F.lit(prefix), out)
+
+
+def sentences(text: Column) -> Column:
+    """Sentences without the marks that end them, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(text, r"[.!?]+(?:[ \t\n\x0B\f\r]+|\z)"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def syllables(word: Column) -> Column:
@@ -75,35 +95,74 @@ def sentence_ends(text: Column) -> Column:
 # ---- HTML
 
 
-def fragment(html: Column, start: str, end: str) -> Column:
-    """From the start marker up to the next end marker; all of it where there is no start."""
-    at = F.locate(start, html)
-    inner = F.when(at > 0, F.substr(html, at)).otherwise(html)
-    return F.when(at > 0, F.substring_index(inner, end, 1)).otherwise(html)
+#: Where a page's content begins, the first that is found, and where it ends, the earliest one.
+CONTENT_START = ('<div id="mw-content-text"[^>]*>', '<div class="mw-category-generated"[^>]*>')
+CONTENT_END = ('<div class="printfooter"', '<div id="catlinks"', '<nav id="mw-navigation"', '<div id="mw-navigation"', '<footer id="footer"')
+
 
+def fragment(html: Column, starts: tuple[str, ...] = CONTENT_START, ends: tuple[str, ...] = CONTENT_END) -> Column:
+    """From the first start marker that matches (ignoring case) up to the earliest end marker after it; all of it where there is no start."""
+    place = lambda x, pattern: F.nullif(F.regexp_instr(x, F.lit("(?i)" + pattern)), F.lit(0))
 
-#: Entities decoded, the ampersand last.
-ENTITIES = (("&nbsp;", " "), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+    def cut(segment: Column) -> Column:
+        found = [F.when(place(segment, e) > 1, place(segment, e)) for e in ends]
+        end = F.least(*found) if len(found) > 1 else found[0]
+        return F.when(end.isNull(), segment).otherwise(F.substr(segment, F.lit(1), end - 1))
+
+    at = F.coalesce(*[place(html, s) for s in starts])
+    return F.when(at.isNull(), html).otherwise(let(F.substr(html, at), cut))
+
+
+#: Elements that go, by name, and by name and a word in their class.
+GONE = ("script", "style", "noscript", "figure")
+GONE_CLASSES = (
+    ("table", "infobox|navbox|vertical-navbox|sidebar|metadata|plainlinks|toccolours"),
+    ("div", "shortdescription|navbox|metadata|authority-control|reflist|mw-editsection|toc|thumb|sistersitebox|portalbox|ambox|plainlinks"),
+    ("span", "mw-editsection|reference-text|error"),
+    ("sup", "reference"),
+)
+BLOCK_TAGS = "p|div|section|tr|ul|ol|dl|dt|dd|h[1-6]"
 #: Regular expressions and what replaces them, in order. They hold for Java and RE2 alike.
 HTML_STEPS = (
     (r"(?is)<!--.*?-->", ""),
-    (r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>", ""),
-    (r"(?is)<(?:nav|table)[^>]*>.*?</(?:nav|table)>", ""),
-    (r"(?i)<br[^>]*>", "\n"),
-    (r"(?i)<li[^>]*>", "\n- "),
-    (r"(?i)</?(?:p|div|h[1-6]|ul|ol|section|article|header|footer|title|body|html|head)(?:\s[^>]*)?>", "\n\n"),
+    *((rf"(?is)<{name}\b.*?</{name}>", "") for name in GONE),
+    *((rf"""(?is)<{name}\b[^>]*class="[^"]*(?:{words})[^"]*"[^>]*>.*?</{name}>""", "") for name, words in GONE_CLASSES),
+    (r"(?i)<br\s*/?>", "\n"),
+    (r"(?i)<li\b[^>]*>", "\n- "),
+    (r"(?i)</li>", "\n"),
+    (rf"(?i)<(?:{BLOCK_TAGS})\b[^>]*>", "\n"),
+    (rf"(?i)</(?:{BLOCK_TAGS})>", "\n"),
     (r"<[^>]+>", " "),
 )
-SPACE_STEPS = ((r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"))
+SPACE_STEPS = (("\u00a0", " "), ("\r", ""), (r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n"))
+#: The named entities: those of HTML 4, and the apostrophe.
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+AMPERSAND = ("amp", "#38", "#x26", "#X26")
+
+
+def decode_entities(text: Column) -> Column:
+    """Named, decimal and hexadecimal entities, each decoded once; unknown ones stay. The ampersand is last, so that what it
+    makes is not decoded again."""
+    names = F.array_distinct(F.regexp_extract_all(text, F.lit("&(#?[A-Za-z0-9]+);"), F.lit(1)))
+    known = F.map_from_arrays(F.array(*[F.lit(n) for n in ENTITIES]), F.array(*[F.lit(c) for c in ENTITIES.values()]))
+
+    def character(name: Column) -> Column:
+        digits = F.when(name.rlike("^#[xX][0-9A-Fa-f]{1,6}$"), F.conv(F.substr(name, F.lit(3)), 16, 10)).when(name.rlike("^#[0-9]{1,7}$"), F.substr(name, F.lit(2)))
+        code = digits.cast("int")
+        sound = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.when(name.startswith("#"), F.when(sound, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))).otherwise(F.element_at(known, name))
+
+    rest = F.filter(names, lambda n: ~n.isin(*AMPERSAND))
+    out = F.aggregate(rest, text, lambda s, n: F.replace(s, F.concat(F.lit("&"), n, F.lit(";")), F.coalesce(character(n), F.concat(F.lit("&"), n, F.lit(";")))))
+    return F.regexp_replace(out, f"&(?:{'|'.join(AMPERSAND)});", "&")
 
 
 def html_text(html: Column) -> Column:
-    """Readable text: unwanted elements go, breaks and list items start lines, blocks make paragraphs, entities are decoded."""
+    """Readable text: unwanted elements go, breaks and list items start lines, blocks too, entities are decoded."""
     out = F.coalesce(html, F.lit(""))
     for pattern, made in HTML_STEPS:
         out = F.regexp_replace(out, pattern, made)
-    for entity, made in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(made))
+    out = let(out, decode_entities)
     for pattern, made in SPACE_STEPS:
         out = F.regexp_replace(out, pattern, made)
     return F.regexp_replace(out, r"^\s+|\s+$", "")
@@ -111,7 +170,29 @@ def html_text(html: Column) -> Column:
 
 def links(html: Column) -> Column:
     """Distinct link targets, in order."""
-    return F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*?href="([^"]+)"'), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)))
+
+
+# ---- exported texts
+
+#: The fields of an exported text's header, which ends at the first blank line.
+HEADER_FIELDS = (("title", "Title"), ("canonical_title", "CanonicalTitle"), ("kind", "Kind"), ("url", "URL"))
+HEADER_LINES = 8
+
+
+def header(text: Column) -> Column:
+    """What stands before the first blank line; empty where there is none."""
+    return F.regexp_extract(text, r"(?s)^(.*?\r?\n\r?\n)", 1)
+
+
+def body(text: Column) -> Column:
+    return F.substr(text, F.length(header(text)) + 1)
+
+
+def header_field(text: Column, name: str) -> Column:
+    """A field of the first HEADER_LINES lines, trimmed; empty where it is missing."""
+    head = F.array_join(F.slice(F.split(text, r"\r?\n"), 1, HEADER_LINES), "\n")
+    return F.trim(F.regexp_extract(head, rf"(?m)^{name}:[ \t]*(.+)$", 1))
 
 
 # ---- blocks of cleaned text
@@ -137,7 +218,7 @@ def lines_of(block: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(r"[^\s]+"), F.lit(0)))
+    return F.size(F.regexp_extract_all(text, F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0)))
 
 
 def sentence_shaped(block: Column) -> Column:

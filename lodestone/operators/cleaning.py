@@ -54,10 +54,32 @@ def cleaned(blocks: DataFrame) -> DataFrame:
     return runs.groupBy("id").agg(text.alias("out")).select("id", F.size("out").alias("n_blocks"), F.array_join("out", "\n\n").alias("text"))
 
 
-def export_clean(texts: DataFrame) -> DataFrame:
-    """(id, text): lines without trailing blanks and 'edit' lines, cut at the first line that is a heading of back matter other than 'see also'."""
+def export_clean(texts: DataFrame, newline: str = "\r\n") -> DataFrame:
+    """(id, text) of exported texts: the header's title, a blank line, and the body without 'edit' lines and trailing blanks,
+    cut at the first line that is a heading of back matter other than 'see also'; what is empty is left out. Ends with a newline."""
     ends = [h for h in T.BACK_MATTER if h != "see also"]
-    lines = F.filter(F.transform(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n"), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: x != "edit")
+    trimmed = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    parts = texts.select("id", trimmed(F.regexp_extract(T.header(F.col("text")), r"(?m)^Title:\s*(.+)$", 1)).alias("title"), T.body(F.col("text")).alias("body"))
+    lines = F.filter(F.split("body", r"\r?\n"), lambda x: trimmed(x) != "edit")
+    lines = F.transform(lines, lambda x: F.regexp_replace(x, r"\s+$", ""))
     cut = F.array_position(F.transform("lines", lambda x: F.lower(F.trim(x)).isin(*ends)), True)
     kept = F.when(cut > 0, F.slice("lines", F.lit(1), cut.cast("int") - 1)).otherwise(F.col("lines"))
-    return texts.withColumn("lines", lines).select("id", F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n").alias("text"))
+    body = F.regexp_replace(trimmed(F.array_join(kept, "\n")), r"\n{3,}", "\n\n")
+    out = parts.withColumn("lines", lines).select("id", F.filter(F.array("title", body), lambda x: x != "").alias("parts"))
+    return out.select("id", F.replace(F.concat(F.array_join("parts", "\n\n"), F.lit("\n")), F.lit("\n"), F.lit(newline)).alias("text"))
+
+
+def sentence_chunks(texts: DataFrame, size: int = 180) -> DataFrame:
+    """(id, chunk, n_words, text): sentences one after the other, cut into chunks of at most `size` words, as many sentences
+    as fit. Sentences are never cut: a longer one is a chunk of its own."""
+    said = F.transform(T.sentences(F.col("text")), lambda s: F.struct(s.alias("s"), T.n_words(s).alias("n")))
+    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.array().cast("array<struct<chunk:int,n:int,s:string>>").alias("out"))
+
+    def put(a, x):
+        new = (a["used"] > 0) & (a["used"] + x["n"] > size)
+        chunk = F.when(new, a["chunk"] + 1).otherwise(a["chunk"])
+        return F.struct(chunk.alias("chunk"), F.when(new, x["n"]).otherwise(a["used"] + x["n"]).alias("used"), F.concat(a["out"], F.array(F.struct(chunk.alias("chunk"), x["n"].alias("n"), x["s"].alias("s")))).alias("out"))
+
+    rows = texts.select("id", F.posexplode(F.aggregate(said, start, put)["out"]).alias("pos", "x"))
+    rows = rows.groupBy("id", F.col("x.chunk").alias("chunk")).agg(F.sum("x.n").alias("n_words"), F.array_sort(F.collect_list(F.struct("pos", "x.s"))).alias("said"))
+    return rows.select("id", "chunk", "n_words", F.array_join(F.transform("said", lambda x: x["s"]), ". ").alias("text"))

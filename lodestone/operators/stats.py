@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import let
 
+#: Width of the cells of whole numbers in which average ranks are worked out.
+CELL = 4096
+#: Slope of the line that tau and rho of normal data lie near.
+GREINER = 1.5
+
 
 def rank_features(ranking: DataFrame, features: DataFrame) -> DataFrame:
     """(query_id, doc_id, doc_rank, feature, value) of the numeric features."""
@@ -16,10 +21,19 @@ def rank_features(ranking: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def average_ranks(rows: DataFrame, by: list[str], column: str, out: str) -> DataFrame:
-    """Adds ranks in which ties share their mean: counts of the distinct values go into a running sum, so no task sorts all rows of a group."""
+    """Adds ranks in which ties share their mean. Counts of the distinct values go into running sums within cells of the scale
+    (of whole numbers CELL wide, or a hundredth of the magnitude), after the sums of the cells before: no window holds a group."""
     counts = rows.groupBy(*by, column).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(*by, column, (before + (F.col("_n") + 1) / 2).alias(out))
+    x = F.col(column)
+    whole = dict(rows.dtypes)[column] in ("int", "bigint")
+    cell = F.floor(x / CELL) if whole else F.floor(F.signum(x) * F.log1p(F.abs(x)) * 64)
+    counts = counts.withColumn("_cell", cell.cast("long"))
+    cells = counts.groupBy(*by, "_cell").agg(F.sum("_n").alias("_m"))
+    ahead = F.coalesce(F.sum("_m").over(Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select(*by, "_cell", ahead.alias("_ahead"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by, "_cell").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_before", before).join(cells, [*by, "_cell"])
+    counts = counts.select(*by, column, (F.col("_ahead") + F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
     return rows.join(counts, [*by, column])
 
 
@@ -141,6 +155,28 @@ def agreement(tau: DataFrame, rho: DataFrame, tiny: float = 1e-9) -> DataFrame:
     )
 
 
+def significant_counts(tests: DataFrame, by: tuple[str, ...] = ("model",)) -> DataFrame:
+    """How many features were tested, testable and significant."""
+    return tests.groupBy(*by).agg(F.count("*").alias("n_features"), F.count("p_value").alias("n_tested"), F.count_if("significant").alias("n_significant"))
+
+
+def wide(coefs: DataFrame, features: list[str]) -> DataFrame:
+    """A row a query, a column a feature."""
+    return coefs.groupBy("query_id").pivot("feature", features).agg(F.first("coef"))
+
+
+def long(table: DataFrame) -> DataFrame:
+    """(query_id, feature, coef) of a wide coefficient table."""
+    names = [c for c in table.columns if c != "query_id"]
+    return table.select("query_id", *[F.col(f"`{n}`").cast("double").alias(n) for n in names]).unpivot(["query_id"], names, "feature", "coef")
+
+
+def greiner(cells: DataFrame) -> DataFrame:
+    """Adds to (.., tau, rho) what rho the reference line gives for tau, and how far off rho is."""
+    line = F.least(F.greatest(GREINER * F.col("tau"), F.lit(-1.0)), F.lit(1.0))
+    return cells.withColumn("reference", line).withColumn("off", F.col("rho") - line)
+
+
 def rbo_curves(rankings: DataFrame, p: float = 0.9, depth: int = 1000) -> DataFrame:
     """(a, b, query_id, depth, rbo) of each two models: extrapolated rank-biased overlap at every depth.
 

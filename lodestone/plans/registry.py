@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that have QUERIES and ORACLE_SQL.
-MODULES = ["retrieval", "pages", "graphs", "features", "statistics"]
+MODULES = ["retrieval", "pages", "graphs", "crawl", "features", "statistics"]
 
 
 def _all(name: str) -> dict:

@@ -15,6 +15,8 @@ from lodestone.sources.tables import table
 P, DEPTH, ALPHA = 0.9, 100, 0.05
 #: Means of ten numbers of six digits have seven: eight leave no tie to round.
 DIGITS = 8
+#: Added before means of overlaps are rounded: a mean that ends in a 5 falls to the same side however it was summed.
+NUDGE = 3e-11
 
 
 def _rows(spark, sf_dir):
@@ -33,8 +35,8 @@ def kendall_per_query(spark, sf_dir):
     return S.kendall(_rows(spark, sf_dir)).withColumn("coef", F.round("coef", 6))
 
 
-def _rounded(tests, digits: int = 6):
-    return tests.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in tests.dtypes])
+def _rounded(tests, digits: int = 6, nudge: float = 0.0):
+    return tests.select(*[F.round(F.col(c) + nudge, digits).alias(c) if kind == "double" else F.col(c) for c, kind in tests.dtypes])
 
 
 def ttest_features(spark, sf_dir):
@@ -48,7 +50,7 @@ def bh_fdr(spark, sf_dir):
 def tau_rho_agreement(spark, sf_dir):
     rows = step(_rows(spark, sf_dir))
     rho, tau = (S_(rows).withColumn("coef", F.round("coef", 6)) for S_ in (S.spearman, S.kendall))
-    return _rounded(S.agreement(step(tau), step(rho)))
+    return _rounded(S.agreement(step(tau), step(rho)), DIGITS, NUDGE)
 
 
 def _rankings(spark, sf_dir):
@@ -64,24 +66,50 @@ def _rankings(spark, sf_dir):
 
 
 def rbo_curve(spark, sf_dir):
-    return _rounded(S.rbo_bands(S.rbo_curves(_rankings(spark, sf_dir), P, DEPTH)))
+    return _rounded(S.rbo_bands(S.rbo_curves(_rankings(spark, sf_dir), P, DEPTH)), DIGITS, NUDGE)
 
 
 def rbo_pairs(spark, sf_dir):
-    return _rounded(S.rbo_summary(S.rbo_curves(_rankings(spark, sf_dir), P, DEPTH)))
+    return _rounded(S.rbo_summary(S.rbo_curves(_rankings(spark, sf_dir), P, DEPTH)), DIGITS, NUDGE)
 
 
 def rbo_matrix(spark, sf_dir):
-    return _rounded(S.rbo_matrix(S.rbo_summary(S.rbo_curves(_rankings(spark, sf_dir), P, DEPTH)), ["bm25", "tfidf", "length"]))
+    return _rounded(S.rbo_matrix(S.rbo_summary(S.rbo_curves(_rankings(spark, sf_dir), P, DEPTH)), ["bm25", "tfidf", "length"]), DIGITS, NUDGE)
 
 
-QUERIES = {f.__name__: f for f in (rank_feature_join, spearman_per_query, kendall_per_query, ttest_features, bh_fdr, tau_rho_agreement, rbo_curve, rbo_pairs, rbo_matrix)}
+def coefficients_wide(spark, sf_dir):
+    return S.wide(spearman_per_query(spark, sf_dir), sorted(NUMBERS))
+
+
+def coefficients_long(spark, sf_dir):
+    return S.long(coefficients_wide(spark, sf_dir))
+
+
+def significance_models(spark, sf_dir):
+    """Tests of each model's coefficients, and how many are significant."""
+    rho = step(spearman_per_query(spark, sf_dir))
+    both = rho.select(F.lit("all").alias("model"), "feature", "coef").unionByName(rho.filter("query_id % 2 = 0").select(F.lit("even").alias("model"), "feature", "coef"))
+    tests = S.benjamini_hochberg(S.t_test(both, ("model", "feature")), ("model",), ALPHA)
+    return S.significant_counts(tests)
+
+
+def tau_rho_line(spark, sf_dir):
+    rows = step(_rows(spark, sf_dir))
+    rho, tau = (f(rows).select("query_id", "feature", F.round("coef", 6).alias(n)) for f, n in ((S.spearman, "rho"), (S.kendall, "tau")))
+    return _rounded(S.greiner(tau.join(rho, ["query_id", "feature"])), DIGITS, NUDGE)
+
+
+QUERIES = {f.__name__: f for f in (rank_feature_join, spearman_per_query, kendall_per_query, ttest_features, bh_fdr, tau_rho_agreement, rbo_curve, rbo_pairs, rbo_matrix, coefficients_wide, coefficients_long, significance_models, tau_rho_line)}
 
 LONG = f"""{R.BM25}, feats AS ({surface_sql("(SELECT doc_id, coalesce(text, '') AS text FROM documents)")}),
 long AS (UNPIVOT (SELECT doc_id, {", ".join(f"{n}::DOUBLE AS {n}" for n in NUMBERS)} FROM feats) ON {", ".join(NUMBERS)} INTO NAME feature VALUE value),
 cells AS MATERIALIZED (SELECT query_id, doc_id, doc_rank, feature, value FROM bm_rank JOIN long USING (doc_id))"""
 
 
+def nudged(x: str) -> str:
+    return f"round(({x}) + {NUDGE!r}::DOUBLE, {DIGITS})"
+
+
 def corr(x: str, y: str) -> str:
     return f"covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)"
 
@@ -120,12 +148,22 @@ ORACLE_SQL = {
     "ttest_features": f"WITH {TESTS} SELECT {ROUNDED} FROM tests",
     "bh_fdr": f"""WITH {TESTS}, b0 AS (SELECT *, row_number() OVER (ORDER BY p_value, feature) AS i, count(*) OVER () AS m FROM tests),
 b1 AS (SELECT *, least(min(p_value * m / i) OVER (ORDER BY i DESC), 1) AS pc FROM b0) SELECT {ROUNDED}, round(pc, {DIGITS}) AS p_corrected, pc <= {ALPHA} AS significant FROM b1""",
+    "coefficients_wide": f"WITH {RHO} SELECT query_id, " + ", ".join(f"max(coef) FILTER (WHERE feature = '{n}') AS {n}" for n in sorted(NUMBERS)) + " FROM rho GROUP BY query_id",
+    "coefficients_long": f"WITH {RHO} SELECT query_id, feature, coef FROM rho",
+    "significance_models": f"""WITH {RHO}, m AS (SELECT 'all' AS model, feature, coef FROM rho UNION ALL SELECT 'even', feature, coef FROM rho WHERE query_id % 2 = 0),
+t0 AS (SELECT model, feature, count(coef) AS n, avg(coef) AS mean, stddev_samp(coef) AS sd FROM m GROUP BY model, feature), t1 AS (SELECT *, atan(abs(mean / nullif(sd / sqrt(n), 0)) / sqrt(n - 1)) AS th FROM t0),
+t2 AS (SELECT model, feature, CASE WHEN n = 10 THEN greatest(1 - 2 / pi() * (th + sin(th) * (cos(th) + 2.0::DOUBLE / 3 * cos(th) ** 3 + 8.0::DOUBLE / 15 * cos(th) ** 5 + 48.0::DOUBLE / 105 * cos(th) ** 7)), 0)
+    WHEN n = 5 THEN greatest(1 - sin(th) * (1 + 0.5::DOUBLE * cos(th) ** 2), 0) END AS p FROM t1),
+t3 AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY p, feature) AS i, count(p) OVER (PARTITION BY model) AS k FROM t2), t4 AS (SELECT *, min(p * k / i) OVER (PARTITION BY model ORDER BY i DESC) AS pc FROM t3)
+SELECT model, count(*) AS n_features, count(p) AS n_tested, count(*) FILTER (WHERE pc <= {ALPHA}) AS n_significant FROM t4 GROUP BY model""",
+    "tau_rho_line": f"""WITH {RHO}, {TAU}, z AS (SELECT query_id, feature, tau.coef AS tau, rho.coef AS rho, least(greatest(1.5::DOUBLE * tau.coef, -1), 1) AS line FROM tau JOIN rho USING (query_id, feature))
+SELECT query_id, feature, {nudged("tau")} AS tau, {nudged("rho")} AS rho, {nudged("line")} AS reference, {nudged("rho - line")} AS off FROM z""",
     "tau_rho_agreement": f"""WITH {RHO}, {TAU}, ag AS (SELECT tau.coef AS x, rho.coef AS y FROM tau JOIN rho USING (query_id, feature) WHERE tau.coef IS NOT NULL AND rho.coef IS NOT NULL),
 ar AS (SELECT *, {mean_rank("x", "")} AS rx, {mean_rank("y", "")} AS ry FROM ag)
-SELECT count(*) AS n_cells, round({corr("x", "y")}, 6) AS pearson_r, round({corr("rx", "ry")}, 6) AS spearman_rho, round(avg(y - x), 6) AS mean_signed_diff, round(avg(abs(y - x)), 6) AS mean_abs_diff,
-round(avg(CASE WHEN abs(x) > 1e-9 AND abs(y) > 1e-9 THEN CASE WHEN sign(x) = sign(y) THEN 1.0 ELSE 0.0 END END), 6) AS sign_agreement FROM ar""",
+SELECT count(*) AS n_cells, {nudged(corr("x", "y"))} AS pearson_r, {nudged(corr("rx", "ry"))} AS spearman_rho, {nudged("avg(y - x)")} AS mean_signed_diff, {nudged("avg(abs(y - x))")} AS mean_abs_diff,
+{nudged("avg(CASE WHEN abs(x) > 1e-9 AND abs(y) > 1e-9 THEN CASE WHEN sign(x) = sign(y) THEN 1.0 ELSE 0.0 END END)")} AS sign_agreement FROM ar""",
     "rbo_curve": f"""WITH {RBO}, c AS (SELECT a, b, depth, avg(rbo) AS mean, coalesce(stddev_samp(rbo), 0) AS sd FROM curves GROUP BY a, b, depth)
-SELECT a, b, depth, round(mean, 6) AS mean, round(greatest(mean - sd, 0), 6) AS low, round(least(mean + sd, 1), 6) AS high FROM c""",
-    "rbo_pairs": f"WITH {RBO} SELECT a, b, round(mean, 6) AS mean, round(std, 6) AS std, round(min, 6) AS min, round(max, 6) AS max, n_queries FROM summary",
-    "rbo_matrix": f"WITH {RBO} " + " UNION ALL ".join(f"SELECT '{m}' AS model, " + ", ".join(f"round({'1.0::DOUBLE' if m == o else _CELL.format(m, o)}, 6) AS {o}" for o in _MODELS) for m in _MODELS),
+SELECT a, b, depth, {nudged("mean")} AS mean, {nudged("greatest(mean - sd, 0)")} AS low, {nudged("least(mean + sd, 1)")} AS high FROM c""",
+    "rbo_pairs": f"WITH {RBO} SELECT a, b, {nudged("mean")} AS mean, {nudged("std")} AS std, {nudged("min")} AS min, {nudged("max")} AS max, n_queries FROM summary",
+    "rbo_matrix": f"WITH {RBO} " + " UNION ALL ".join(f"SELECT '{m}' AS model, " + ", ".join(f"{nudged('1.0::DOUBLE' if m == o else _CELL.format(m, o))} AS {o}" for o in _MODELS) for m in _MODELS),
 }

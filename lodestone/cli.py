@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import SparkSession
@@ -10,17 +11,16 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import lookup_key
 from lodestone.operators import cleaning as C
+from lodestone.operators import crawl as K
 from lodestone.operators import features as X
 from lodestone.operators import graph as G
 from lodestone.operators import retrieval as R
 from lodestone.operators import stats as S
-from lodestone.operators.ranking import stable_rank
+from lodestone.operators.crawl import utc_now
+from lodestone.operators.ranking import cuts_of, stable_rank
 from lodestone.plans import registry
 from lodestone.sources import sinks, tables
 
-LIGHT = {"bm25": R.bm25, "tfidf": R.tfidf}
-
-
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="lodestone")
     sub = out.add_subparsers(dest="command", required=True)
@@ -29,7 +29,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--data", required=True)
     p.add_argument("--out")
     p = sub.add_parser("rank", help="rank a folder of texts for a query file")
-    p.add_argument("--model", choices=["all", *LIGHT], default="all")
+    p.add_argument("--model", choices=["all", *R.RUNNERS], default="all")
+    p.add_argument("--limit", type=int, help="so many documents, by name")
+    p.add_argument("--cache", help="folder of scores that are kept between runs")
     p.add_argument("--corpus", required=True)
     p.add_argument("--queries", required=True)
     p.add_argument("--out", required=True)
@@ -47,11 +49,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--title")
     p.add_argument("--page-id", type=int)
     p.add_argument("--suggest-limit", type=int, default=10)
+    p.add_argument("--json", action="store_true")
     p = sub.add_parser("top", help="the highest nodes")
     p.add_argument("--graph", required=True)
     p.add_argument("--limit", type=int, default=20)
+    p.add_argument("--json", action="store_true")
     p = sub.add_parser("features")
     p.add_argument("--corpus", required=True)
+    p.add_argument("--limit", type=int)
+    p.add_argument("--no-sentiment", action="store_true")
     p.add_argument("--out", required=True)
     p = sub.add_parser("correlate", help="coefficients of features and ranks")
     p.add_argument("--rankings", required=True)
@@ -74,6 +80,14 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("clean", help="clean a folder of texts, new ones only")
     p.add_argument("--source", required=True)
     p.add_argument("--out", required=True)
+    p = sub.add_parser("export-clean", help="clean exported texts: title and body")
+    p.add_argument("--source", required=True)
+    p.add_argument("--out", required=True)
+    p.add_argument("--skip-existing", action="store_true")
+    p = sub.add_parser("crawl-outputs", help="page index, links, failed pages and manifest of a saved crawl")
+    p.add_argument("--inventory", required=True)
+    p.add_argument("--progress")
+    p.add_argument("--out", required=True)
     return out
 
 
@@ -86,9 +100,13 @@ def build(spark: SparkSession, a: argparse.Namespace) -> None:
     ids = nodes.select("key", "node")
     links = links.join(ids.withColumnsRenamed({"node": "src", "key": "k"}), lookup_key(F.col("source_title")) == F.col("k")).drop("k")
     links = G.edges(links.join(ids.withColumnsRenamed({"node": "dst", "key": "k"}), lookup_key(F.col("target_title")) == F.col("k")))
-    ranks = stable_rank(G.pagerank(nodes, links, a.damping, a.tol, a.max_iter).withColumn("by", F.lit(0)), ("by",), "pagerank", "node", "rank").drop("by")
+    told: dict = {}
+    ranks = G.step(G.pagerank(nodes, links, a.damping, a.tol, a.max_iter, told).join(nodes.select("node", "key"), "node").withColumn("by", F.lit(0)))
+    ranks = stable_rank(ranks, ("by",), "pagerank", "node", "rank", cuts_of(ranks, "pagerank"), ("key",)).drop("by", "key")
     whole = nodes.join(G.degrees(nodes, links), "node").join(ranks, "node")
-    sinks.write_graph(whole, links, G.metadata(nodes, links, damping=a.damping, tolerance=a.tol), a.out)
+    asked = {"input_dir": a.index.rpartition("/")[0], "output_dir": a.out, "page_index_path": a.index, "links_path": a.links, "include_categories": a.include_categories, "completed_only": a.completed_only}
+    metadata = G.metadata(nodes, links, **asked, damping=a.damping, tolerance=a.tol, max_iterations=a.max_iter, **told)
+    sinks.write_graph(whole, links, metadata.withColumn("generated_at_utc", utc_now()), a.out, csv=True)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -98,13 +116,19 @@ def main(argv: list[str] | None = None) -> int:
         df = registry.queries()[a.name](spark, a.data)
         df.write.mode("overwrite").parquet(a.out) if a.out else df.show(truncate=False)
     elif a.command == "rank":
-        docs, queries = tables.text_corpus(spark, a.corpus), tables.query_file(spark, a.queries).withColumnRenamed("query_text", "text")
-        for model in LIGHT if a.model == "all" else [a.model]:
-            scored = R.with_zeros(LIGHT[model](docs, queries), docs, queries)
+        docs, queries = tables.text_corpus(spark, a.corpus, a.limit), tables.query_file(spark, a.queries).withColumnRenamed("query_text", "text")
+        for model in R.LIGHT if a.model == "all" else [a.model]:
+            def made(model=model):
+                return R.with_zeros(R.RUNNERS[model](docs, queries), docs, queries)
+
+            given = docs.select("doc_id", "text").unionByName(queries.select(F.concat(F.lit("query "), "query_id").alias("doc_id"), "text"))
+            scored = tables.cached(spark, a.cache, model, given, made) if a.cache else made()
             sinks.write_rankings(_rank_text_ids(scored).withColumn("model", F.lit(model)), f"{a.out}/{model}")
     elif a.command == "build":
         build(spark, a)
     elif a.command == "query":
+        if (a.title is None) == (a.page_id is None):
+            parser().error("one of --title and --page-id is needed")
         nodes = spark.read.parquet(f"{a.graph}/nodes")
         wanted = lookup_key(F.lit(a.title or ""))
         hit = nodes.filter(F.col("page_id") == a.page_id) if a.page_id is not None else nodes.filter((F.col("key") == wanted) | (lookup_key(F.col("canonical_title")) == wanted)).orderBy(F.when(F.col("key") == wanted, 0).otherwise(1), "rank").limit(1)
@@ -112,12 +136,16 @@ def main(argv: list[str] | None = None) -> int:
         if not rows:
             nodes.filter(F.contains("key", wanted)).orderBy("rank").limit(a.suggest_limit).select("rank", "title").show(truncate=False)
             return 1
-        print(rows[0].asDict())
+        print(json.dumps(rows[0].asDict(True), ensure_ascii=False) if a.json else "\n".join(f"{k}: {v}" for k, v in rows[0].asDict(True).items()))
     elif a.command == "top":
-        spark.read.parquet(f"{a.graph}/nodes").orderBy("rank").limit(a.limit).select("rank", "title", "pagerank").show(a.limit, truncate=False)
+        best = spark.read.parquet(f"{a.graph}/nodes").orderBy("rank").limit(a.limit).select("rank", "title", "pagerank")
+        if a.json:
+            print(json.dumps([r.asDict() for r in best.collect()], ensure_ascii=False))  # --limit rows
+        else:
+            best.show(a.limit, truncate=False)
     elif a.command == "features":
-        docs = tables.text_corpus(spark, a.corpus)
-        out = X.surface(docs).join(X.readability(docs), "doc_id").join(X.lexical(docs), "doc_id").join(X.keywords(docs), "doc_id")
+        docs, annotator = tables.text_corpus(spark, a.corpus, a.limit), X.Annotator(**({"polarity": None} if a.no_sentiment else {}))
+        out = X.surface(docs).join(X.readability(docs, annotator), "doc_id").join(X.lexical(docs, annotator), "doc_id").join(X.keywords(docs, annotator), "doc_id")
         out.write.mode("overwrite").parquet(a.out)
     elif a.command == "correlate":
         features = spark.read.parquet(a.features)
@@ -131,7 +159,20 @@ def main(argv: list[str] | None = None) -> int:
         sinks.write_csv(S.rbo_summary(S.rbo_curves(spark.read.parquet(a.rankings), a.p, a.depth)).orderBy(F.desc("mean")), a.out)
     elif a.command == "clean":
         texts = tables.text_corpus(spark, a.source).select(F.col("doc_id").alias("id"), F.col("body").alias("text"))
-        sinks.append_new(C.cleaned(C.without_back_matter(C.exploded(texts))).select("id", "text"), a.out)
+        print("written %d, empty %d" % sinks.append_new(C.cleaned(C.without_back_matter(C.exploded(texts))).select("id", "text"), a.out, count=True))
+    elif a.command == "export-clean":
+        texts = tables.text_corpus(spark, a.source).select(F.col("doc_id").alias("id"), F.col("body").alias("text"))
+        out = C.export_clean(texts)
+        sinks.append_new(out, a.out) if a.skip_existing else out.write.mode("overwrite").parquet(a.out)
+    elif a.command == "crawl-outputs":
+        nodes = tables.saved_nodes(spark, a.inventory)
+        if nodes is None:
+            print(f"no saved inventory in {a.inventory}")
+            return 1
+        if a.progress:
+            progress = "title string, url string, text_file string, canonical_title string, links array<string>, fetch_status string, failure_count int, last_http_status int"
+            nodes = K.with_progress(nodes, spark.read.schema(progress).json(a.progress))
+        K.write_outputs(nodes, a.out)
     return 0
 
 

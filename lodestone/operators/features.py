@@ -2,7 +2,8 @@
 
 What a language model would tell (content words, lemmas, proper nouns, entities, sentiment) comes from an annotator; the
 default one is deterministic and only stands in for a model: content words are alphabetic words that are no stop words,
-lemmas are lower-cased words, entities are capitalised words within a sentence, sentiment is null.
+lemmas are lower-cased words, entities (and proper nouns) are capitalised words within a sentence, and a sentence's polarity
+is the balance of the words of two short lists.
 """
 
 from __future__ import annotations
@@ -18,6 +19,16 @@ from lodestone.functions import text as T
 TOP, COMPLEX = 5, 3
 
 
+#: Words of the stand-in for a model of sentiment.
+GLAD = ("good", "great", "excellent", "happy", "love", "best", "beautiful", "nice", "wonderful", "win")
+SAD = ("bad", "poor", "terrible", "sad", "hate", "worst", "ugly", "awful", "stupid", "lose")
+
+
+def _balance(words: Column) -> Column:
+    count = lambda known: F.size(F.filter(words, lambda w: w.isin(*known))).cast("double")
+    return F.coalesce((count(GLAD) - count(SAD)) / F.nullif(count(GLAD) + count(SAD), F.lit(0.0)), F.lit(0.0))
+
+
 @dataclass(frozen=True)
 class Annotator:
     """Columns from a column of words (array) or of text."""
@@ -25,7 +36,28 @@ class Annotator:
     content: Callable[[Column], Column] = lambda words: F.filter(words, lambda w: ~F.lower(w).isin(*T.STOP_WORDS) & (F.length(w) > 1))
     lemma: Callable[[Column], Column] = F.lower
     entities: Callable[[Column], Column] = lambda text: F.regexp_extract_all(text, F.lit(r"[\p{Ll},;] (\p{Lu}\p{Ll}+)"), F.lit(1))
-    sentiment: Callable[[Column], Column] = lambda text: F.lit(None).cast("double")
+    polarity: Callable[[Column], Column] | None = lambda sentence: _balance(T.alphabetic(F.lower(sentence)))
+
+
+def weighted_mean(values: Column, weights: Column) -> Column:
+    """Of two arrays; null where there is no weight."""
+    total = F.aggregate(weights, F.lit(0.0), lambda s, w: s + w)
+    return F.aggregate(F.zip_with(values, weights, lambda v, w: v * w), F.lit(0.0), lambda s, x: s + x) / F.nullif(total, F.lit(0.0))
+
+
+def sentiment(text: Column, annotator: Annotator) -> Column:
+    """Mean polarity of the sentences, by their words; null where the annotator has none, 0 for texts without words."""
+    if annotator.polarity is None:
+        return F.lit(None).cast("double")
+    of = lambda s: weighted_mean(F.transform(s, lambda x: annotator.polarity(x)), F.transform(s, lambda x: F.size(T.alphabetic(x)).cast("double")))
+    return F.coalesce(T.let(T.sentences(text), of), F.lit(0.0))
+
+
+def most_frequent(items: Column) -> Column:
+    """(item, n) of the most frequent item of an array, the first seen of several; ("", 0) of an empty one."""
+    counted = lambda all_: F.transform(F.array_distinct(all_), lambda e, i: F.struct((-F.size(F.filter(all_, lambda x: x == e))).alias("n"), i.alias("i"), e.alias("item")))
+    best = T.let(items, lambda all_: F.array_min(counted(all_)))
+    return F.struct(F.coalesce(best["item"], F.lit("")).alias("item"), F.coalesce(-best["n"], F.lit(0)).alias("n"))
 
 
 def surface(docs: DataFrame) -> DataFrame:
@@ -39,12 +71,12 @@ def surface(docs: DataFrame) -> DataFrame:
     return rows.withColumn("avg_words_per_sentence", F.round(F.coalesce(F.col("word_count") / F.nullif("sentence_count", F.lit(0)), F.lit(0.0)), 6))
 
 
-def readability(docs: DataFrame) -> DataFrame:
-    """Syllables a word, Flesch-Kincaid grade and Gunning fog; 0 for texts without words."""
+def readability(docs: DataFrame, annotator: Annotator = Annotator()) -> DataFrame:
+    """Syllables a word, Flesch-Kincaid grade and Gunning fog; 0 for texts without words. Proper nouns are no complex words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     ends = T.sentence_ends(text)
-    rows = docs.select("doc_id", ends.alias("ends"), F.transform(T.alphabetic(text), T.syllables).alias("s"))
-    rows = rows.select("doc_id", F.greatest("ends", F.lit(1)).alias("ends"), F.size("s").alias("w"), F.aggregate("s", F.lit(0), lambda a, x: a + x).alias("syl"), F.size(F.filter("s", lambda x: x >= COMPLEX)).alias("complex"))
+    rows = docs.select("doc_id", ends.alias("ends"), F.transform(T.alphabetic(text), lambda w: T.syllables(w)).alias("s"), F.transform(annotator.entities(text), lambda w: T.syllables(w)).alias("e"))
+    rows = rows.select("doc_id", F.greatest("ends", F.lit(1)).alias("ends"), F.size("s").alias("w"), F.aggregate("s", F.lit(0), lambda a, x: a + x).alias("syl"), (F.size(F.filter("s", lambda x: x >= COMPLEX)) - F.size(F.filter("e", lambda x: x >= COMPLEX))).alias("complex"))
     w = F.nullif("w", F.lit(0)).cast("double")
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
     return rows.select(
@@ -58,7 +90,8 @@ def readability(docs: DataFrame) -> DataFrame:
 def lexical(docs: DataFrame, annotator: Annotator = Annotator()) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), T.alphabetic(text).alias("words"))
-    rows = rows.select("doc_id", "text", F.size("words").alias("n"), F.size(annotator.content(F.col("words"))).alias("c"), F.size(F.array_distinct(F.transform("words", F.lower))).alias("d"), annotator.entities(F.col("text")).alias("e"))
+    rows = rows.select("doc_id", "text", F.size("words").alias("n"), F.size(annotator.content(F.col("words"))).alias("c"), F.size(F.array_distinct(F.transform("words", F.lower))).alias("d"), annotator.entities(F.col("text")).alias("e"), sentiment(F.col("text"), annotator).alias("p"))
+    rows = rows.withColumn("m", most_frequent(F.col("e")))
     n = F.nullif("n", F.lit(0)).cast("double")
     return rows.select(
         "doc_id",
@@ -66,7 +99,9 @@ def lexical(docs: DataFrame, annotator: Annotator = Annotator()) -> DataFrame:
         F.round(F.coalesce(F.col("d") / n, F.lit(0.0)), 6).alias("lexical_diversity"),
         F.size("e").alias("named_entity_count"),
         F.size(F.array_distinct("e")).alias("distinct_entities"),
-        annotator.sentiment(F.col("text")).alias("sentiment_polarity"),
+        F.col("m.item").alias("top_entity"),
+        F.col("m.n").alias("top_entity_count"),
+        F.round("p", 6).alias("sentiment_polarity"),
     )
 
 

@@ -82,6 +82,8 @@ FROM (SELECT doc_id, text, len({WORDS.format(t="text")}) AS wc, len({sql_tokens(
 HEAD = r"array_to_string(regexp_split_to_array(trim(text), '\s+')[1:{n}], ' ')"
 NUMBERS = ("word_count", "token_count", "sentence_count", "char_count", "char_count_no_spaces", "avg_words_per_sentence")
 CONTENT = f"list_filter({WORDS.format(t='text')}, lambda w: lower(w) NOT IN ({STOPS}) AND length(w) > 1)"
+PROPER = r"regexp_extract_all(text, '[\p{Ll},;] (\p{Lu}\p{Ll}+)', 1)"
+GLAD, SAD = (str(tuple(x)) for x in (X.GLAD, X.SAD))
 ORACLE_SQL = {
     "title_from_stem": "SELECT p_partkey AS id, trim(replace(regexp_replace(replace(p_name, ' ', '_') || CASE WHEN p_partkey % 3 = 0 THEN '_' || substr(sha1(p_name), 1, 10) ELSE '' END, '_[0-9a-fA-F]{8,}$', ''), '_', ' ')) AS value FROM part",
     "norm_lookup": "SELECT doc_id AS id, md5(replace(lower(trim(text)), 'ß', 'ss')) AS value FROM documents",
@@ -92,9 +94,12 @@ ORACLE_SQL = {
     "syllables": f"SELECT DISTINCT word, {SYL.format(w='word')} AS n FROM (SELECT lower(unnest({WORDS.format(t='text')})) AS word FROM documents)",
     "surface_features": surface_sql("(SELECT doc_id, coalesce(text, '') AS text FROM documents)"),
     "readability": f"""SELECT doc_id, round(coalesce(syl / w, 0), 6) AS avg_syllables_per_word, round(coalesce(0.39::DOUBLE * w / e + 11.8::DOUBLE * syl / w - 15.59::DOUBLE, 0), 6) AS flesch_kincaid_grade, round(coalesce(0.4::DOUBLE * (w / e + 100.0::DOUBLE * c / w), 0), 6) AS gunning_fog_index
-FROM (SELECT doc_id, e, nullif(len(s), 0)::DOUBLE AS w, coalesce(list_sum(s), 0)::DOUBLE AS syl, len(list_filter(s, lambda x: x >= 3)) AS c FROM (SELECT doc_id, greatest({ENDS.format(t="text")}, 1) AS e, list_transform({WORDS.format(t="text")}, lambda w: {SYL.format(w="w")}) AS s FROM documents))""",
-    "lexical_features": rf"""SELECT doc_id, round(coalesce(c / n, 0), 6) AS lexical_density, round(coalesce(d / n, 0), 6) AS lexical_diversity, len(e) AS named_entity_count, len(list_distinct(e)) AS distinct_entities, NULL::DOUBLE AS sentiment_polarity
-FROM (SELECT doc_id, nullif(len({WORDS.format(t="text")}), 0)::DOUBLE AS n, len({CONTENT}) AS c, len(list_distinct(list_transform({WORDS.format(t="text")}, lambda w: lower(w)))) AS d, regexp_extract_all(text, '[\p{{Ll}},;] (\p{{Lu}}\p{{Ll}}+)', 1) AS e FROM documents)""",
+FROM (SELECT doc_id, e, nullif(len(s), 0)::DOUBLE AS w, coalesce(list_sum(s), 0)::DOUBLE AS syl, len(list_filter(s, lambda x: x >= 3)) - len(list_filter(pn, lambda x: x >= 3)) AS c FROM (SELECT doc_id, greatest({ENDS.format(t="text")}, 1) AS e, list_transform({WORDS.format(t="text")}, lambda w: {SYL.format(w="w")}) AS s, list_transform({PROPER}, lambda w: {SYL.format(w="w")}) AS pn FROM documents))""",
+    "lexical_features": rf"""WITH sent AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+(?:[ \t\n\x0B\f\r]+|\z)'), lambda x: trim(x)), lambda x: x <> '')) AS s FROM documents),
+balance AS (SELECT doc_id, len(ws)::DOUBLE AS w, len(list_filter(ws, lambda x: x IN {GLAD}))::DOUBLE AS g, len(list_filter(ws, lambda x: x IN {SAD}))::DOUBLE AS b FROM (SELECT doc_id, regexp_extract_all(lower(s), '\p{{L}}+') AS ws FROM sent)),
+polarity AS (SELECT doc_id, sum(coalesce((g - b) / nullif(g + b, 0), 0) * w) / nullif(sum(w), 0) AS pol FROM balance GROUP BY doc_id)
+SELECT doc_id, round(coalesce(c / n, 0), 6) AS lexical_density, round(coalesce(d / n, 0), 6) AS lexical_diversity, len(e) AS named_entity_count, len(list_distinct(e)) AS distinct_entities, coalesce(top.item, '') AS top_entity, coalesce(top.n, 0) AS top_entity_count, round(coalesce(pol, 0), 6) AS sentiment_polarity
+FROM (SELECT d.doc_id AS doc_id, nullif(len({WORDS.format(t="text")}), 0)::DOUBLE AS n, len({CONTENT}) AS c, len(list_distinct(list_transform({WORDS.format(t="text")}, lambda w: lower(w)))) AS d, {PROPER} AS e, (SELECT {{'item': x, 'n': count(*)}} FROM (SELECT unnest({PROPER}) AS x, unnest(range(len({PROPER}))) AS i) GROUP BY x ORDER BY count(*) DESC, min(i) LIMIT 1) AS top, pol FROM documents d LEFT JOIN polarity USING (doc_id))""",
     "keyword_density": f"""WITH w AS (SELECT doc_id, len({WORDS.format(t="text")}) AS n, {CONTENT} AS c FROM documents),
 f AS (SELECT doc_id, lower(unnest(c)) AS lemma, unnest(range(len(c))) AS pos FROM w), g AS (SELECT doc_id, lemma, count(*) AS k, min(pos) AS p FROM f GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, p) AS i FROM g), t AS (SELECT doc_id, sum(k) AS k, string_agg(lemma, ' ' ORDER BY i) AS keywords FROM r WHERE i <= 5 GROUP BY doc_id)

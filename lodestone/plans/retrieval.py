@@ -63,16 +63,41 @@ def maxsim_rank(spark, sf_dir):
 def chunk_agg(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     chunks = v.select(F.expr("vec_id div 7").alias("doc_id"), F.col("vec_id").alias("chunk"), F.col("embedding").alias("v"))
-    q = F.broadcast(v.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")))
+    q = R.small(v.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")))
     return R.chunk_aggregate(chunks.join(q).select("query_id", "doc_id", "chunk", R.dot(F.col("v"), F.col("qv")).alias("s")))
 
 
 def hybrid_rank(spark, sf_dir):
+    """BM25, the product of vectors, and PageRank. A document's vector is the one of its id, its page rank that of the node of its id."""
+    from lodestone.plans import graphs
+
     docs, queries = corpus(spark, sf_dir), query_set(spark, sf_dir)
     lexical = R.with_zeros(R.bm25(docs, queries), docs, queries).select("query_id", "doc_id", F.col("doc_score").alias("bm25"))
-    semantic = R.with_zeros(R.tfidf(docs, queries), docs, queries).select("query_id", "doc_id", F.col("doc_score").alias("semantic"))
-    size = table(spark, sf_dir, "documents", "doc_id", "n_chars").select("doc_id", F.col("n_chars").cast("double").alias("authority"))
-    return R.hybrid(lexical.join(semantic, ["query_id", "doc_id"]).join(size, "doc_id"), {"bm25": 0.4, "semantic": 0.4, "authority": 0.2})
+    vectors = _vectors(spark, sf_dir)
+    asked = vectors.join(queries.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    semantic = R.dense(vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), asked).withColumnRenamed("doc_score", "semantic")
+    authority = graphs.pagerank(spark, sf_dir).select(F.col("node").alias("doc_id"), F.col("pagerank").alias("authority"))
+    parts = lexical.join(semantic, ["query_id", "doc_id"], "left").join(authority, "doc_id", "left").fillna(0.0, ["semantic", "authority"])
+    return R.hybrid(parts, {"bm25": 0.4, "semantic": 0.4, "authority": 0.2})
+
+
+def encoded_rank(spark, sf_dir):
+    docs, queries = corpus(spark, sf_dir), query_set(spark, sf_dir)
+    return R.stable_rank(R.RUNNERS["e5"](docs, queries)).select("query_id", "doc_id", "doc_rank", "doc_score")
+
+
+def cross_rank(spark, sf_dir):
+    docs, queries = corpus(spark, sf_dir), query_set(spark, sf_dir)
+    return R.stable_rank(R.RUNNERS["cross_encoder"](docs, queries)).select("query_id", "doc_id", "doc_rank", "doc_score")
+
+
+def whatif_batch(spark, sf_dir):
+    """Documents with the query put before their first 110 or 70 words, or before all of them."""
+    docs, queries = corpus(spark, sf_dir), query_set(spark, sf_dir)
+    i = F.col("doc_id")
+    keep = F.when(i % 3 == 0, 110).when(i % 3 == 1, 70)
+    edits = docs.filter((i % 90).isin(7, 8, 9)).select("doc_id", keep.alias("keep")).join(R.small(queries.select("query_id", F.col("text").alias("lead"))))
+    return R.experiments(docs, queries, edits, R.cross_edited, cross_rank(spark, sf_dir))
 
 
 def whatif_rank(spark, sf_dir):
@@ -81,7 +106,7 @@ def whatif_rank(spark, sf_dir):
     return R.whatif(ranking, edits)
 
 
-QUERIES = {f.__name__: f for f in (tokenize, bm25_postings, bm25_rank, tfidf_weights, tfidf_rank, dense_rank, maxsim_rank, chunk_agg, hybrid_rank, whatif_rank)}
+QUERIES = {f.__name__: f for f in (tokenize, bm25_postings, bm25_rank, tfidf_weights, tfidf_rank, dense_rank, maxsim_rank, chunk_agg, hybrid_rank, encoded_rank, cross_rank, whatif_rank, whatif_batch)}
 
 STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
@@ -121,7 +146,26 @@ def scaled(column: str) -> str:
     return f"coalesce(({column} - min({column}) OVER (PARTITION BY query_id)) / nullif({ends}, 0), 0)"
 
 
+def graph_sql(name: str) -> str:
+    from lodestone.plans import graphs
+
+    return graphs.EDGES if name == "EDGES" else graphs._ranks_sql()
+
+
+CROSS = f"""{BASE}, cr AS (SELECT query_id, doc_id, round(coalesce(len(list_intersect(list_distinct(q.t), list_distinct(d.t[1:512])))::DOUBLE / nullif(len(list_distinct(list_concat(q.t, d.t[1:512]))), 0), 0), 6) AS doc_score FROM qs q CROSS JOIN toks d),
+cr_rank AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_score DESC, doc_id) AS doc_rank, doc_score FROM cr)"""
+HASHED = "list_transform(range(64), lambda d: len(list_filter(list_transform({t}, lambda w: ('0x' || substr(md5(w), 1, 2))::INT % 64), lambda x: x = d))::DOUBLE)"
 ORACLE_SQL = {
+    "encoded_rank": f"""WITH dv AS (SELECT doc_id, {HASHED.format(t=sql_tokens("'passage: ' || coalesce(text, '')"))} AS v FROM documents), qv AS (SELECT item_id AS query_id, {HASHED.format(t=sql_tokens("'query: ' || coalesce(text, '')"))} AS v FROM benchmark WHERE item_id < {N_QUERIES}),
+s AS (SELECT query_id, doc_id, coalesce(round({DOT.format(a="dv.v", b="qv.v")} / nullif(sqrt({DOT.format(a="dv.v", b="dv.v")}) * sqrt({DOT.format(a="qv.v", b="qv.v")}), 0), 6), 0) AS doc_score FROM dv CROSS JOIN qv)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_score DESC, doc_id) AS doc_rank, doc_score FROM s""",
+    "cross_rank": f"WITH {CROSS} SELECT * FROM cr_rank",
+    "whatif_batch": rf"""WITH {CROSS},
+ed AS (SELECT item_id AS query_id, doc_id, {sql_tokens("b.text")} AS q, {sql_tokens("b.text || ' ' || CASE doc_id % 3 WHEN 0 THEN array_to_string(regexp_split_to_array(trim(d.text), '\\s+')[1:110], ' ') WHEN 1 THEN array_to_string(regexp_split_to_array(trim(d.text), '\\s+')[1:70], ' ') ELSE d.text END")} AS t
+    FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) d CROSS JOIN benchmark b WHERE item_id < {N_QUERIES} AND doc_id % 90 IN (7, 8, 9)),
+n AS (SELECT query_id, doc_id, round(coalesce(len(list_intersect(list_distinct(q), list_distinct(t[1:512])))::DOUBLE / nullif(len(list_distinct(list_concat(q, t[1:512]))), 0), 0), 6) AS new_score FROM ed)
+SELECT n.query_id, n.doc_id, o.doc_rank AS old_rank, 1 + count(*) FILTER (WHERE r.doc_id <> n.doc_id AND (r.doc_score > new_score OR (r.doc_score = new_score AND r.doc_rank < o.doc_rank))) AS new_rank, any_value(o.doc_score) AS old_score, any_value(new_score) AS new_score
+FROM n JOIN cr_rank o ON o.query_id = n.query_id AND o.doc_id = n.doc_id JOIN cr_rank r ON r.query_id = n.query_id GROUP BY n.query_id, n.doc_id, o.doc_rank""",
     "tokenize": f"SELECT doc_id, len({sql_tokens('text')}) AS token_count FROM documents",
     "bm25_postings": f"WITH {BASE} SELECT term, df, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM dfs, whole",
     "bm25_rank": f"WITH {BM25} SELECT * FROM bm_rank",
@@ -135,8 +179,9 @@ SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_s
     "chunk_agg": f"""WITH p AS (SELECT q.vec_id AS query_id, d.vec_id // 7 AS doc_id, {DOT.format(a="d.embedding", b="q.embedding")} AS s, d.vec_id AS c FROM embeddings d CROSS JOIN embeddings q WHERE q.vec_id < 10),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY s DESC, c) AS "at" FROM p)
 SELECT query_id, doc_id, round(sum(CASE WHEN "at" = 1 THEN 0.4::DOUBLE * s WHEN "at" = 2 THEN 0.35::DOUBLE * s WHEN "at" = 3 THEN 0.2::DOUBLE * s ELSE 0 END) + 0.05::DOUBLE * coalesce(avg(CASE WHEN "at" > 3 THEN s END), 0), 6) AS score FROM r GROUP BY ALL""",
-    "hybrid_rank": f"""WITH {BM25}, {TFIDF},
-p AS (SELECT bm.query_id, bm.doc_id, bm.doc_score AS b, ti.doc_score AS t, n_chars::DOUBLE AS a FROM bm JOIN ti ON bm.query_id = ti.query_id AND bm.doc_id = ti.doc_id JOIN documents d ON d.doc_id = bm.doc_id),
+    "hybrid_rank": f"""WITH {BM25}, {graph_sql("EDGES")}, {graph_sql("RANKS")},
+dn AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round({DOT.format(a="d.embedding", b="q.embedding")}, 6) AS t FROM embeddings d CROSS JOIN embeddings q WHERE q.vec_id IN (SELECT query_id FROM qs)),
+p AS (SELECT bm.query_id, bm.doc_id, bm.doc_score AS b, coalesce(t, 0) AS t, coalesce(round(pagerank, 9), 0) AS a FROM bm LEFT JOIN dn ON bm.query_id = dn.query_id AND bm.doc_id = dn.doc_id LEFT JOIN ranks ON ranks.node = bm.doc_id),
 s AS (SELECT query_id, doc_id, round(0.4::DOUBLE * {scaled("b")} + 0.4::DOUBLE * {scaled("t")} + 0.2::DOUBLE * {scaled("a")}, 6) AS score FROM p)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s""",
     "whatif_rank": f"""WITH {BM25}, e AS (SELECT query_id, doc_id, doc_rank AS old_rank, round(doc_score * 1.5::DOUBLE, 6) AS new_score FROM bm_rank WHERE doc_id % 50 = 0)

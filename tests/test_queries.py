@@ -17,7 +17,7 @@ from lodestone.plans import registry
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: A query of each family; the driver compares all of them.
-COMPARED = ("bm25_rank", "tfidf_rank", "maxsim_rank", "chunk_agg", "graph_nodes", "pagerank", "bfs_levels", "html_to_text", "clean_blocks", "export_clean", "slug", "readability", "keyword_density", "spearman_per_query", "kendall_per_query", "bh_fdr", "rbo_pairs")
+COMPARED = ("bm25_rank", "tfidf_rank", "maxsim_rank", "chunk_agg", "graph_nodes", "pagerank", "bfs_levels", "html_to_text", "clean_blocks", "export_clean", "slug", "readability", "keyword_density", "spearman_per_query", "kendall_per_query", "bh_fdr", "rbo_pairs", "rbo_curve", "crawl_nodes", "crawl_manifest", "page_urls", "sentence_chunks", "lexical_features", "whatif_batch", "node_suggest", "significance_models")
 
 
 def plain(rows, columns):
@@ -137,3 +137,56 @@ def test_whatif(spark):
     ranking = spark.createDataFrame([(1, 10, 1, 3.0), (1, 11, 2, 2.0), (1, 12, 3, 1.0)], "query_id int, doc_id long, doc_rank int, doc_score double")
     edits = spark.createDataFrame([(1, 12, 2.0)], "query_id int, doc_id long, new_score double")
     assert R.whatif(ranking, edits).first()["new_rank"] == 3
+
+
+def test_entities_are_decoded_once(spark):
+    text = "a &amp;lt; b &#233;&#xE9; &eacute;&nbsp;&Alpha; &unknown; &#1114112; &#x1F600; &amp;amp;"
+    assert one(spark, T.decode_entities(F.col("t")), t=text) == "a &lt; b éé é\u00a0Α &unknown; &#1114112; 😀 &amp;"
+
+
+def test_fragments_and_html(spark):
+    page = '<p>x</p><DIV id="mw-content-text" class="a">A<br/>B<table class="infobox y"><tr><td>no</td></tr></table><table><tr><td>yes</td></tr></table><nav>n</nav><sup class="reference">1</sup><noscript>z</noscript></div><div id="catlinks">end</div><footer id="footer">'
+    assert one(spark, T.html_text(T.fragment(F.col("h"))), h=page) == "A\nB\nyes\nn"
+    assert one(spark, T.fragment(F.col("h")), h="no marker") == "no marker"
+    assert one(spark, F.array_join(T.links(F.col("h")), " "), h='<a data-href="n" HREF="y"><a class=x href="z"><abbr href="q">') == "y z"
+
+
+def test_late_interaction_against_brute_force(spark):
+    docs = [(1, "big cats purr"), (2, "dogs bark at cats"), (3, None)]
+    queries = [(0, "cats purr")]
+    found = {r["doc_id"]: r["doc_score"] for r in R.late_interaction(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "query_id long, text string")).collect()}
+    import hashlib
+
+    def vector(w):
+        v = [int(hashlib.md5(w.encode()).hexdigest()[2 * d : 2 * d + 2], 16) / 255.0 - 0.5 for d in range(R.TOKEN_DIMENSIONS)]
+        return [x / math.sqrt(sum(y * y for y in v)) for x in v]
+
+    asked = (["cats", "purr"] + [R.MASK] * R.QUERY_TOKENS)[: R.QUERY_TOKENS]
+    for i, words in ((1, ["big", "cats", "purr"]), (2, ["dogs", "bark", "cats"])):
+        want = sum(max(sum(a * b for a, b in zip(vector(q), vector(d), strict=True)) for d in words) for q in asked)
+        assert abs(found[i] - want) < 1e-5
+    assert 3 not in found
+
+
+def test_a_walk_goes_on_where_it_was_cut_off(spark):
+    from lodestone.operators import crawl as K
+
+    links = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 0)], "src long, dst long")
+    whole = {r["node"]: (r["level"], list(r["parents"])) for r in K.levels(links, 5, 0).collect()}
+    assert whole == {0: (0, []), 1: (1, [0]), 2: (1, [0]), 3: (2, [1, 2]), 4: (3, [3])}
+    assert {r["node"]: (r["level"], list(r["parents"])) for r in K.levels(links, 5, saved=K.levels(links, 2, 0)).collect()} == whole
+
+
+def test_saved_states_belong_to_their_crawl():
+    from lodestone.operators import crawl as K
+
+    assert K.same_crawl({"root_category": "Cats"}, "cats", False) and not K.same_crawl({"root_category": "Cats", "include_all_namespaces": True}, "cats", False)
+    assert not K.same_crawl({}, "", False) and K.same_crawl({"requested_root_category": "A", "root_category": "B"}, "b", False)
+
+
+def test_average_ranks_do_not_depend_on_cells(spark, monkeypatch):
+    rows = spark.createDataFrame([(0, float(v), i) for i, v in enumerate([5, -3, 5, 0, 1e9, -3, 2.5, 1e-3])], "g long, x double, r long")
+    want = {0: 6.5, 1: 1.5, 2: 6.5, 3: 3.0, 4: 8.0, 5: 1.5, 6: 5.0, 7: 4.0}
+    assert {r["r"]: r["a"] for r in S.average_ranks(rows, ["g"], "x", "a").collect()} == want
+    monkeypatch.setattr(S, "CELL", 3)
+    assert {r["r"]: r["b"] for r in S.average_ranks(rows, ["g"], "r", "b").collect()} == {i: i + 1.0 for i in range(8)}

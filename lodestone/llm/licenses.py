@@ -6,8 +6,9 @@ template's bounds are dropped by their word count before bigrams are made, and a
 A unit of n words has at most n-1 distinct bigrams, and fewer only if bigrams repeat; so the lower bound is asked of the
 word count, and both are asked of the distinct bigrams.
 
-Everything happens within a row: no shuffle, no explosion, nothing to skew. Defined results: a null or empty text has no
-units; one row is returned per row, repeated ids too; only id and text are read.
+Everything happens within a row: no shuffle, no explosion, nothing to skew. Defined results: an empty table gives no rows; a
+null or empty text has no units; texts of any length are scanned whole; of equally good licences the first name is the best;
+one row is returned per row, repeated ids too; only id and text are read.
 """
 
 from __future__ import annotations

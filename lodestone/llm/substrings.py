@@ -10,7 +10,8 @@ join, and its repeated windows merge into maximal removal intervals.
 The number of buckets follows from the number of characters, so that a bucket holds BUCKET windows or so at any size.
 The input must give the same rows if a task is run again (a table does).
 
-Defined results: null and empty texts have no words and keep nothing; a text shorter than a window loses nothing; repeated
+Defined results: an empty table gives no rows; null and empty texts have no words and keep nothing; texts of any length are
+read whole; a text shorter than a window loses nothing; repeated
 rows (same id and text) are each other's copies, lose the same words, and each stays a row; columns other than id and text
 are not read.
 """

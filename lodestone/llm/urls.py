@@ -3,7 +3,8 @@
 All of it is DataFrame functions; the regression is Spark's own, fitted to the small labelled table below. The hashed
 n-grams of a URL are counted once each.
 
-Defined results: a null url, or one without "://", has an empty host and path, fits no rule and is judged by the
+Defined results: an empty table gives no rows; of rules of equal length the later one wins; urls of any length are read whole;
+a null url, or one without "://", has an empty host and path, fits no rule and is judged by the
 regression on its (empty) n-grams; rows are kept one to one, repeated ids too; only id and url are read.
 """
 

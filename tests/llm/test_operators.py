@@ -425,6 +425,52 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.contaminated(docs.limit(0), table).count() == 0 and decontaminate.clean(docs, table.limit(0)).count() == len(rows)
 
 
+def test_edited_passages_against_all_windows(spark):
+    """Insertions, deletions and substitutions at random places: found wherever any window of the item's size is near enough."""
+    rng = np.random.default_rng(11)
+    words = [f"v{i}" for i in range(3000)]
+    items = [(i, [words[j] for j in rng.integers(0, 3000, int(rng.integers(20, 60)))]) for i in range(12)]
+    rows, filler = [], lambda n: [words[j] for j in rng.integers(0, 3000, n)]
+    for k in range(120):
+        item = list(items[k % 12][1])
+        for _ in range(k // 24):
+            at, kind = int(rng.integers(0, len(item))), int(rng.integers(0, 3))
+            item[at : at + 1] = [[], ["zz"], [item[at], "yy"]][kind]
+        rows.append((k, filler(30) + item + filler(30)))
+    count = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = {}
+    for k, w in rows:
+        near = set()
+        for i, b in items:
+            x = count(b)
+            for at in range(len(w) - len(b) + 1):
+                y = count(w[at : at + len(b)])
+                if sum((x & y).values()) >= 0.8 * sum((x | y).values()):
+                    near.add(i)
+                    break
+        want[k] = sorted(near)
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    found = decontaminate.contaminated(docs, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
+    planted = sum(map(len, want.values()))
+    hit = sum(len(set(r["item_ids"]) & set(want[r["doc_id"]])) for r in found)
+    assert planted > 40 and hit >= 0.97 * planted and all(set(r["item_ids"]) <= set(want[r["doc_id"]]) for r in found)
+
+
+def test_url_regression_by_definition(spark):
+    """The probability of a url from its distinct hashed n-grams and the fitted weights."""
+    rows = [(1, "http://library.example.org/catalog/12"), (2, "x://casino/a?b"), (3, None), (4, "http://a"), (4, "http://a")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    intercept, weights = urls.fit(spark)
+    host, path = urls.host_path(F.col("url"))
+    hashed = {r["page_id"]: r["b"] for r in pages.select("page_id", urls.buckets(host, path).alias("b")).collect()}
+    for r in urls.judge(pages).collect():
+        z = intercept + sum(weights[b] for b in set(hashed[r["page_id"]]))
+        assert abs(r["block_score"] - 1 / (1 + np.exp(-z))) < 1e-12
+    assert urls.judge(pages.limit(0)).count() == 0 and licenses.scan(pages.limit(0).withColumnsRenamed({"page_id": "doc_id", "url": "text"})).count() == 0
+    empty = pages.limit(0).withColumnsRenamed({"page_id": "doc_id", "url": "text"})
+    assert substrings.dedup(empty).count() == 0 and bpe.encode(empty).count() == 0 and pii.find(empty).count() == 0
+
+
 def test_short_benchmark_items_are_matched_exactly(spark):
     items = [(1, "What is love?"), (2, "Yes"), (3, "one two three four"), (4, "what is LOVE"), (5, " ".join(WORDS[:7])), (6, "!")]
     rows = [(1, "so, what is love; what is love"), (2, "what is this love"), (3, "yes yes yes " * 50), (4, "yesterday"), (5, "zero one two three four"), (6, "one two three"), (7, "yes"), (8, "a " + " ".join(WORDS[:7])), (9, " ".join(WORDS[:3])), (None, "what is love"), (10, None), (11, "")]

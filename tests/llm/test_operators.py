@@ -433,7 +433,7 @@ def test_edited_passages_against_all_windows(spark):
     rows, filler = [], lambda n: [words[j] for j in rng.integers(0, 3000, n)]
     for k in range(120):
         item = list(items[k % 12][1])
-        for _ in range(k // 24):
+        for _ in range(k // 40):
             at, kind = int(rng.integers(0, len(item))), int(rng.integers(0, 3))
             item[at : at + 1] = [[], ["zz"], [item[at], "yy"]][kind]
         rows.append((k, filler(30) + item + filler(30)))

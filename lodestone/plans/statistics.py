@@ -56,7 +56,7 @@ def tau_rho_agreement(spark, sf_dir):
 def _rankings(spark, sf_dir):
     queries = R.query_set(spark, sf_dir)
     size = table(spark, sf_dir, "documents", "doc_id", "n_chars").select("doc_id", F.col("n_chars").cast("double").alias("doc_score"))
-    longest = stable_rank(size.join(F.broadcast(queries.select("query_id"))))
+    longest = stable_rank(size.join(R.R.small(queries.select("query_id"))))
     parts = {"bm25": R.bm25_rank(spark, sf_dir), "tfidf": R.tfidf_rank(spark, sf_dir), "length": longest}
     out = None
     for model, ranking in parts.items():

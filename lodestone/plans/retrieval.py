@@ -9,7 +9,8 @@ from lodestone.functions.text import STOP_WORDS, tokens
 from lodestone.operators import retrieval as R
 from lodestone.sources.tables import table
 
-N_QUERIES = 10
+#: Vectors whose id is divisible by this are the queries of the vector searches; those of the text searches are all benchmark items.
+EVERY = 50
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +18,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").filter(F.col("item_id") < N_QUERIES).select(F.col("item_id").alias("query_id"), "text")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def tokenize(spark, sf_dir):
@@ -49,21 +50,21 @@ def _vectors(spark, sf_dir):
 def dense_rank(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     docs = v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
-    queries = v.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    queries = v.filter(f"vec_id % {EVERY} = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
     return R.stable_rank(R.dense(docs, queries)).select("query_id", "doc_id", "doc_rank", "doc_score")
 
 
 def maxsim_rank(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     docs = v.select(F.expr("vec_id div 5").alias("doc_id"), F.col("embedding").alias("v"))
-    queries = v.filter("vec_id < 20").select(F.expr("vec_id div 4").alias("query_id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("v"))
+    queries = v.filter(f"vec_id % {EVERY} = 0").select(F.expr(f"vec_id div {4 * EVERY}").alias("query_id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("v"))
     return R.stable_rank(R.maxsim(docs, queries)).select("query_id", "doc_id", "doc_rank", "doc_score")
 
 
 def chunk_agg(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     chunks = v.select(F.expr("vec_id div 7").alias("doc_id"), F.col("vec_id").alias("chunk"), F.col("embedding").alias("v"))
-    q = R.small(v.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")))
+    q = R.small(v.filter(f"vec_id % {EVERY} = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")))
     return R.chunk_aggregate(chunks.join(q).select("query_id", "doc_id", "chunk", R.dot(F.col("v"), F.col("qv")).alias("s")))
 
 
@@ -121,7 +122,7 @@ flat AS (SELECT doc_id, unnest(t) AS term FROM toks),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM flat GROUP BY ALL),
 dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 whole AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS avgdl FROM toks),
-qs AS (SELECT item_id AS query_id, {sql_tokens("text")} AS t FROM benchmark WHERE item_id < {N_QUERIES})"""
+qs AS (SELECT item_id AS query_id, {sql_tokens("text")} AS t FROM benchmark)"""
 BM25 = f"""{BASE},
 qt AS (SELECT DISTINCT query_id, unnest(t) AS term FROM qs),
 hits AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(t) / avgdl))), 6) AS s
@@ -156,13 +157,13 @@ CROSS = f"""{BASE}, cr AS (SELECT query_id, doc_id, round(coalesce(len(list_inte
 cr_rank AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_score DESC, doc_id) AS doc_rank, doc_score FROM cr)"""
 HASHED = "list_transform(range(64), lambda d: len(list_filter(list_transform({t}, lambda w: ('0x' || substr(md5(w), 1, 2))::INT % 64), lambda x: x = d))::DOUBLE)"
 ORACLE_SQL = {
-    "encoded_rank": f"""WITH dv AS (SELECT doc_id, {HASHED.format(t=sql_tokens("'passage: ' || coalesce(text, '')"))} AS v FROM documents), qv AS (SELECT item_id AS query_id, {HASHED.format(t=sql_tokens("'query: ' || coalesce(text, '')"))} AS v FROM benchmark WHERE item_id < {N_QUERIES}),
+    "encoded_rank": f"""WITH dv AS (SELECT doc_id, {HASHED.format(t=sql_tokens("'passage: ' || coalesce(text, '')"))} AS v FROM documents), qv AS (SELECT item_id AS query_id, {HASHED.format(t=sql_tokens("'query: ' || coalesce(text, '')"))} AS v FROM benchmark),
 s AS (SELECT query_id, doc_id, coalesce(round({DOT.format(a="dv.v", b="qv.v")} / nullif(sqrt({DOT.format(a="dv.v", b="dv.v")}) * sqrt({DOT.format(a="qv.v", b="qv.v")}), 0), 6), 0) AS doc_score FROM dv CROSS JOIN qv)
 SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_score DESC, doc_id) AS doc_rank, doc_score FROM s""",
     "cross_rank": f"WITH {CROSS} SELECT * FROM cr_rank",
     "whatif_batch": rf"""WITH {CROSS},
 ed AS (SELECT item_id AS query_id, doc_id, {sql_tokens("b.text")} AS q, {sql_tokens("b.text || ' ' || CASE doc_id % 3 WHEN 0 THEN array_to_string(regexp_split_to_array(trim(d.text), '\\s+')[1:110], ' ') WHEN 1 THEN array_to_string(regexp_split_to_array(trim(d.text), '\\s+')[1:70], ' ') ELSE d.text END")} AS t
-    FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) d CROSS JOIN benchmark b WHERE item_id < {N_QUERIES} AND doc_id % 90 IN (7, 8, 9)),
+    FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) d CROSS JOIN benchmark b WHERE doc_id % 90 IN (7, 8, 9)),
 n AS (SELECT query_id, doc_id, round(coalesce(len(list_intersect(list_distinct(q), list_distinct(t[1:512])))::DOUBLE / nullif(len(list_distinct(list_concat(q, t[1:512]))), 0), 0), 6) AS new_score FROM ed)
 SELECT n.query_id, n.doc_id, o.doc_rank AS old_rank, 1 + count(*) FILTER (WHERE r.doc_id <> n.doc_id AND (r.doc_score > new_score OR (r.doc_score = new_score AND r.doc_rank < o.doc_rank))) AS new_rank, any_value(o.doc_score) AS old_score, any_value(new_score) AS new_score
 FROM n JOIN cr_rank o ON o.query_id = n.query_id AND o.doc_id = n.doc_id JOIN cr_rank r ON r.query_id = n.query_id GROUP BY n.query_id, n.doc_id, o.doc_rank""",
@@ -171,12 +172,12 @@ FROM n JOIN cr_rank o ON o.query_id = n.query_id AND o.doc_id = n.doc_id JOIN cr
     "bm25_rank": f"WITH {BM25} SELECT * FROM bm_rank",
     "tfidf_weights": f"WITH {BASE}, {WEIGHTS} SELECT doc_id, term, round(weight, 6) AS weight FROM weights",
     "tfidf_rank": f"WITH {BASE}, {TFIDF} SELECT * FROM ti_rank",
-    "dense_rank": f"""WITH s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round({DOT.format(a="d.embedding", b="q.embedding")}, 6) AS doc_score FROM embeddings d CROSS JOIN embeddings q WHERE q.vec_id < 10)
+    "dense_rank": f"""WITH s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round({DOT.format(a="d.embedding", b="q.embedding")}, 6) AS doc_score FROM embeddings d CROSS JOIN embeddings q WHERE q.vec_id % {EVERY} = 0)
 SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_score DESC, doc_id) AS doc_rank, doc_score FROM s""",
-    "maxsim_rank": f"""WITH p AS (SELECT q.vec_id // 4 AS query_id, q.vec_id AS pos, d.vec_id // 5 AS doc_id, max({DOT.format(a="d.embedding", b="q.embedding")}) AS s FROM embeddings d CROSS JOIN embeddings q WHERE q.vec_id < 20 GROUP BY 1, 2, 3),
+    "maxsim_rank": f"""WITH p AS (SELECT q.vec_id // {4 * EVERY} AS query_id, q.vec_id AS pos, d.vec_id // 5 AS doc_id, max({DOT.format(a="d.embedding", b="q.embedding")}) AS s FROM embeddings d CROSS JOIN embeddings q WHERE q.vec_id % {EVERY} = 0 GROUP BY 1, 2, 3),
 s AS (SELECT query_id, doc_id, round(sum(s), 6) AS doc_score FROM p GROUP BY ALL)
 SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_score DESC, doc_id) AS doc_rank, doc_score FROM s""",
-    "chunk_agg": f"""WITH p AS (SELECT q.vec_id AS query_id, d.vec_id // 7 AS doc_id, {DOT.format(a="d.embedding", b="q.embedding")} AS s, d.vec_id AS c FROM embeddings d CROSS JOIN embeddings q WHERE q.vec_id < 10),
+    "chunk_agg": f"""WITH p AS (SELECT q.vec_id AS query_id, d.vec_id // 7 AS doc_id, {DOT.format(a="d.embedding", b="q.embedding")} AS s, d.vec_id AS c FROM embeddings d CROSS JOIN embeddings q WHERE q.vec_id % {EVERY} = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY s DESC, c) AS "at" FROM p)
 SELECT query_id, doc_id, round(sum(CASE WHEN "at" = 1 THEN 0.4::DOUBLE * s WHEN "at" = 2 THEN 0.35::DOUBLE * s WHEN "at" = 3 THEN 0.2::DOUBLE * s ELSE 0 END) + 0.05::DOUBLE * coalesce(avg(CASE WHEN "at" > 3 THEN s END), 0), 6) AS score FROM r GROUP BY ALL""",
     "hybrid_rank": f"""WITH {BM25}, {graph_sql("EDGES")}, {graph_sql("RANKS")},

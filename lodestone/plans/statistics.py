@@ -13,9 +13,8 @@ from lodestone.plans.features import NUMBERS, surface_sql
 from lodestone.sources.tables import table
 
 P, DEPTH, ALPHA = 0.9, 100, 0.05
-#: Means of ten numbers of six digits have seven: eight leave no tie to round.
 DIGITS = 8
-#: Added before means of overlaps are rounded: a mean that ends in a 5 falls to the same side however it was summed.
+#: Added before means are rounded: a mean that ends in a 5 falls to the same side however it was summed.
 NUDGE = 3e-11
 
 
@@ -40,11 +39,11 @@ def _rounded(tests, digits: int = 6, nudge: float = 0.0):
 
 
 def ttest_features(spark, sf_dir):
-    return _rounded(S.t_test(spearman_per_query(spark, sf_dir)), DIGITS)
+    return _rounded(S.t_test(spearman_per_query(spark, sf_dir)), DIGITS, NUDGE)
 
 
 def bh_fdr(spark, sf_dir):
-    return _rounded(S.benjamini_hochberg(S.t_test(spearman_per_query(spark, sf_dir)), alpha=ALPHA), DIGITS)
+    return _rounded(S.benjamini_hochberg(S.t_test(spearman_per_query(spark, sf_dir)), alpha=ALPHA), DIGITS, NUDGE)
 
 
 def tau_rho_agreement(spark, sf_dir):
@@ -125,10 +124,20 @@ rho AS MATERIALIZED (SELECT query_id, feature, round({corr("x", "y")}, 6) AS coe
 TAU = """pr AS (SELECT a.query_id, a.feature, sum(sign(a.value - b.value) * sign(a.doc_rank - b.doc_rank)) AS s, sum(abs(sign(a.value - b.value))) AS nx, sum(abs(sign(a.doc_rank - b.doc_rank))) AS ny
     FROM cells a JOIN cells b ON a.query_id = b.query_id AND a.feature = b.feature AND a.doc_id < b.doc_id GROUP BY ALL),
 tau AS MATERIALIZED (SELECT query_id, feature, round(s / nullif(sqrt(nx::DOUBLE * ny), 0), 6) AS coef FROM pr)"""
+
+
+def t_series(given: str, by: str) -> str:
+    """CTEs down to tests: given's columns and the two-sided p_value of its t with n - 1 degrees of freedom, by the finite series."""
+    return f"""angles AS (SELECT *, n - 1 AS df, atan(abs(t) / sqrt(n - 1)) AS th FROM {given}),
+terms AS (SELECT {by}, product(CASE WHEN k = 0 THEN CASE WHEN df % 2 = 1 THEN cos(th) ELSE 1 END WHEN df % 2 = 1 THEN 2::DOUBLE * k / (2 * k + 1) * cos(th) ** 2 ELSE (2::DOUBLE * k - 1) / (2 * k) * cos(th) ** 2 END) OVER (PARTITION BY {by} ORDER BY k) AS term
+    FROM (SELECT *, unnest(range(0, df // 2)) AS k FROM angles)),
+totals AS (SELECT {by}, sum(term) AS total FROM terms GROUP BY ALL),
+tests AS (SELECT angles.*, greatest(CASE WHEN df % 2 = 1 THEN 1 - 2 / pi() * (th + sin(th) * coalesce(total, 0)) ELSE 1 - sin(th) * total END, 0) AS p_value FROM angles LEFT JOIN totals USING ({by}))"""
+
+
 TESTS = f"""{RHO}, t0 AS (SELECT feature, count(coef) AS n, avg(coef) AS mean, stddev_samp(coef) AS std FROM rho GROUP BY feature),
-t1 AS (SELECT *, std / sqrt(n) AS se, mean / nullif(std / sqrt(n), 0) AS t FROM t0), t2 AS (SELECT *, atan(abs(t) / 3) AS th FROM t1),
-tests AS (SELECT feature, n, mean, std, se, t, greatest(1 - 2 / pi() * (th + sin(th) * (cos(th) + 2.0::DOUBLE / 3 * cos(th) ** 3 + 8.0::DOUBLE / 15 * cos(th) ** 5 + 48.0::DOUBLE / 105 * cos(th) ** 7)), 0) AS p_value FROM t2)"""
-ROUNDED = "feature, n, " + ", ".join(f"round({c}, {DIGITS}) AS {c}" for c in ("mean", "std", "se", "t", "p_value"))
+t1 AS (SELECT *, std / sqrt(n) AS se, mean / nullif(std / sqrt(n), 0) AS t FROM t0), {t_series("t1", "feature")}"""
+ROUNDED = "feature, n, " + ", ".join(f"{nudged(c)} AS {c}" for c in ("mean", "std", "se", "t", "p_value"))
 RBO = f"""{R.BM25}, {R.TFIDF},
 ln AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, doc_id) AS doc_rank FROM qs CROSS JOIN documents),
 rks AS (SELECT 'bm25' AS model, query_id, doc_id, doc_rank FROM bm_rank WHERE doc_rank <= {DEPTH} UNION ALL SELECT 'tfidf', query_id, doc_id, doc_rank FROM ti_rank WHERE doc_rank <= {DEPTH} UNION ALL SELECT 'length', query_id, doc_id, doc_rank FROM ln WHERE doc_rank <= {DEPTH}),
@@ -147,13 +156,11 @@ ORACLE_SQL = {
     "kendall_per_query": f"WITH {LONG}, {TAU} SELECT query_id, feature, coef FROM tau",
     "ttest_features": f"WITH {TESTS} SELECT {ROUNDED} FROM tests",
     "bh_fdr": f"""WITH {TESTS}, b0 AS (SELECT *, row_number() OVER (ORDER BY p_value, feature) AS i, count(*) OVER () AS m FROM tests),
-b1 AS (SELECT *, least(min(p_value * m / i) OVER (ORDER BY i DESC), 1) AS pc FROM b0) SELECT {ROUNDED}, round(pc, {DIGITS}) AS p_corrected, pc <= {ALPHA} AS significant FROM b1""",
+b1 AS (SELECT *, least(min(p_value * m / i) OVER (ORDER BY i DESC), 1) AS pc FROM b0) SELECT {ROUNDED}, {nudged("pc")} AS p_corrected, pc <= {ALPHA} AS significant FROM b1""",
     "coefficients_wide": f"WITH {RHO} SELECT query_id, " + ", ".join(f"max(coef) FILTER (WHERE feature = '{n}') AS {n}" for n in sorted(NUMBERS)) + " FROM rho GROUP BY query_id",
     "coefficients_long": f"WITH {RHO} SELECT query_id, feature, coef FROM rho",
     "significance_models": f"""WITH {RHO}, m AS (SELECT 'all' AS model, feature, coef FROM rho UNION ALL SELECT 'even', feature, coef FROM rho WHERE query_id % 2 = 0),
-t0 AS (SELECT model, feature, count(coef) AS n, avg(coef) AS mean, stddev_samp(coef) AS sd FROM m GROUP BY model, feature), t1 AS (SELECT *, atan(abs(mean / nullif(sd / sqrt(n), 0)) / sqrt(n - 1)) AS th FROM t0),
-t2 AS (SELECT model, feature, CASE WHEN n = 10 THEN greatest(1 - 2 / pi() * (th + sin(th) * (cos(th) + 2.0::DOUBLE / 3 * cos(th) ** 3 + 8.0::DOUBLE / 15 * cos(th) ** 5 + 48.0::DOUBLE / 105 * cos(th) ** 7)), 0)
-    WHEN n = 5 THEN greatest(1 - sin(th) * (1 + 0.5::DOUBLE * cos(th) ** 2), 0) END AS p FROM t1),
+t0 AS (SELECT model, feature, count(coef) AS n, avg(coef) AS mean, stddev_samp(coef) AS sd FROM m GROUP BY model, feature), t1 AS (SELECT *, mean / nullif(sd / sqrt(n), 0) AS t FROM t0), {t_series("t1", "model, feature")}, t2 AS (SELECT model, feature, CASE WHEN n >= 3 THEN p_value END AS p FROM tests),
 t3 AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY p, feature) AS i, count(p) OVER (PARTITION BY model) AS k FROM t2), t4 AS (SELECT *, min(p * k / i) OVER (PARTITION BY model ORDER BY i DESC) AS pc FROM t3)
 SELECT model, count(*) AS n_features, count(p) AS n_tested, count(*) FILTER (WHERE pc <= {ALPHA}) AS n_significant FROM t4 GROUP BY model""",
     "tau_rho_line": f"""WITH {RHO}, {TAU}, z AS (SELECT query_id, feature, tau.coef AS tau, rho.coef AS rho, least(greatest(1.5::DOUBLE * tau.coef, -1), 1) AS line FROM tau JOIN rho USING (query_id, feature))

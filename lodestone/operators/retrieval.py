@@ -161,8 +161,11 @@ class Models:
     A real model is put in as columns too, for instance an iterator pandas UDF that loads it once a worker."""
 
     encode: Callable[[Column], Column] = lambda text: hashed(tokens(text))
-    cross: Callable[[Column, Column], Column] = lambda query, text: shared(tokens(query), F.slice(tokens(text), 1, MOST_PAIR))
+    cross: Callable[[Column, Column], Column] = lambda query, text: shared(query, text)
     token_vectors: Callable[[Column], Column] = lambda words: F.transform(words, lambda w: token_vector(w))
+    #: What cross is given of a query and of a text: worked out once a text, not once a pair.
+    cross_query: Callable[[Column], Column] = lambda text: F.array_distinct(tokens(text))
+    cross_text: Callable[[Column], Column] = lambda text: F.array_distinct(F.slice(tokens(text), 1, MOST_PAIR))
 
 
 #: Dimensions of the stand-ins, and the most tokens of a pair, a query and a document that the models read.
@@ -183,8 +186,8 @@ def hashed(words: Column) -> Column:
 
 
 def shared(a: Column, b: Column) -> Column:
-    both, any_ = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return F.coalesce(both / F.nullif(any_, F.lit(0)), F.lit(0.0))
+    """Share of the tokens of two arrays without repeats that both have."""
+    return let(F.size(F.array_intersect(a, b)), lambda both: F.coalesce(both / F.nullif(F.size(a) + F.size(b) - both, F.lit(0)), F.lit(0.0)))
 
 
 def token_vector(word: Column) -> Column:
@@ -204,8 +207,9 @@ def encoded(docs: DataFrame, queries: DataFrame, models: Models = Models(), pref
 
 def crossed(docs: DataFrame, queries: DataFrame, models: Models = Models()) -> DataFrame:
     """(query_id, doc_id, doc_score): the score that a cross-encoder gives each pair of the stated queries and all documents."""
-    met = docs.select("doc_id", "text").join(small(queries.select("query_id", F.col("text").alias("query"))))
-    return met.select("query_id", "doc_id", F.round(models.cross(F.col("query"), F.coalesce("text", F.lit(""))), 6).alias("doc_score"))
+    texts = docs.select("doc_id", models.cross_text(F.coalesce("text", F.lit(""))).alias("text"))
+    met = texts.join(small(queries.select("query_id", models.cross_query(F.col("text")).alias("query"))))
+    return met.select("query_id", "doc_id", F.round(models.cross(F.col("query"), F.col("text")), 6).alias("doc_score"))
 
 
 def late_interaction(docs: DataFrame, queries: DataFrame, models: Models = Models()) -> DataFrame:
@@ -246,5 +250,5 @@ def experiments(docs: DataFrame, queries: DataFrame, edits: DataFrame, score: Ca
 
 
 def cross_edited(texts: DataFrame, queries: DataFrame, models: Models = Models()) -> DataFrame:
-    met = texts.join(small(queries.select("query_id", F.col("text").alias("query"))), "query_id")
-    return met.select("query_id", "doc_id", F.round(models.cross(F.col("query"), F.col("text")), 6).alias("new_score"))
+    met = texts.join(small(queries.select("query_id", models.cross_query(F.col("text")).alias("query"))), "query_id")
+    return met.select("query_id", "doc_id", F.round(models.cross(F.col("query"), models.cross_text(F.col("text"))), 6).alias("new_score"))

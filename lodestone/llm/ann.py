@@ -2,13 +2,14 @@
 
 The codebooks (16 centres for each SUBSPACE of dimensions, so four bits each) are fitted to a bounded sample by the
 anisotropic loss: the part of a residual along its vector, which moves the score of a query that the vector is a good answer
-to, weighs PARALLEL times the part across. All vectors are coded by coordinate descent on the same loss. A block of queries
-makes tables of its products with the centres, in small integers; the sums of sixteen table entries rank a block's vectors,
-and the best RERANK of each block are scored exactly, in double precision.
+to, weighs PARALLEL times the part across. All vectors are coded by coordinate descent on the same loss, in one pass that
+writes key, id, vector and code. A query makes tables of its products with the centres, in small integers; the tables of two
+neighbouring parts are added to one that a byte of codes looks up, and the sums of looked up entries rank all vectors.
 
-The stated queries meet all rows in blocks: each block of coded rows is sent once to each block of queries, and what comes
-out of a meeting is at most the top of each query. Blocks are cut by a hash of the row, so no id or vector decides how large a
-block gets.
+Of rows with the very same vector only the first 2 top by id can be an answer, and only they go on. Only codes meet queries: each block of codes goes once to each block of queries, without the vectors, and a task keeps no more
+than the RERANK best of each query of a strand of blocks. The RERANK best of all strands are joined with their vectors by key
+and scored exactly, in double precision. A vector that very many queries find is a hot key of that join, which the skew join of
+adaptive execution splits.
 
 Defined results: vectors that are null, all zero, of another length than most, or hold null or non-finite components take no
 part; ties go to the smaller vec_id; a query has fewer rows if there are fewer candidates; repeated rows are candidates each,
@@ -25,9 +26,12 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import in_python, settle, table
 
-CENTRES, SUBSPACE, PARALLEL = 16, 4, 4.0
+CENTRES, SUBSPACE, PARALLEL = 16, 2, 4.0
 SAMPLE, ROUNDS = 4000, 12
-ROW_BLOCK, QUERY_BLOCK, RERANK = 4096, 512, 400
+#: Codes and queries of a block, and vectors of a strand.
+ROW_BLOCK, QUERY_BLOCK, STRAND = 16384, 256, 1 << 20
+#: A query's candidates that are scored exactly: so many for that many vectors, at least; more by the square root of the vectors.
+RERANK, RERANK_ROWS = 400, 50_000
 TOP = 20
 
 
@@ -86,53 +90,66 @@ def tables(queries: np.ndarray, books: np.ndarray) -> np.ndarray:
     return np.round((products - low) / scale * 255).astype(np.uint8)
 
 
+def paired(lut: np.ndarray) -> np.ndarray:
+    """One query's table (part, centre) as a table of two parts each: (pair, 256), for bytes of two codes, the first part's low."""
+    lut = np.pad(lut, ((0, len(lut) % 2), (0, 0))).astype(np.uint16)
+    return (lut[1::2, :, None] + lut[::2, None, :]).reshape(len(lut) // 2, -1)
+
+
+def packed(codes: np.ndarray) -> np.ndarray:
+    """Two codes to a byte."""
+    codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
+    return codes[:, ::2] | codes[:, 1::2] << 4
+
+
 def scan(lut: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Approximate scores (rows) of one query's table."""
-    wide = np.uint16 if codes.shape[1] * 255 <= np.iinfo(np.uint16).max else np.uint32  # a sum must not wrap
+    """Approximate scores of rows of codes by one query's table (column, code)."""
+    wide = np.uint16 if lut.max(1, initial=0).sum(dtype=np.int64) <= np.iinfo(np.uint16).max else np.uint32  # a sum must not wrap
     flat = lut.astype(wide)
     out = np.zeros(len(codes), wide)
     for p in range(codes.shape[1]):
-        out += flat[p][codes[:, p]]
+        out += flat[p].take(codes[:, p])
     return out
 
 
-def best(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, books: np.ndarray, top: int, rerank: int):
-    """For each query the (rows, exact scores) of its top, by score and then id. Rows are in the order of ids."""
-    luts = tables(queries, books)
-    place = np.arange(len(ids), dtype=np.int64)
-    for q, query_id, lut in zip(queries, query_ids, luts, strict=True):
-        rank = scan(lut, codes).astype(np.int64) * len(ids) + (len(ids) - 1 - place)  # ties to the smaller id
-        own = ids == query_id
-        rank[own] = -1
-        n = min(rerank, len(ids) - int(own.sum()))
-        if n <= 0:
-            yield np.zeros(0, int), np.zeros(0)
-            continue
-        some = np.argpartition(-rank, n - 1)[:n]
-        scores = x[some] @ q
-        order = np.lexsort((ids[some], -scores))[:top]
-        yield some[order], scores[order]
+class Best:
+    """The best rows of each query of a block so far: (score, id, key), higher scores first, ties to the smaller id and key."""
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, books: np.ndarray, n: int):
+        self.query_ids, self.n = query_ids, n
+        self.luts = [paired(lut) for lut in tables(queries, books)]
+        self.found = [(np.zeros(0, np.int64),) * 3 for _ in query_ids]
+
+    def meet(self, keys: np.ndarray, ids: np.ndarray, codes: np.ndarray) -> None:
+        codes = np.asfortranarray(codes)
+        for i, (query_id, lut) in enumerate(zip(self.query_ids.tolist(), self.luts, strict=True)):
+            scores, (had, had_ids, had_keys) = scan(lut, codes), self.found[i]
+            at = np.flatnonzero(ids != query_id)
+            least = int(had[-1]) if len(had) == self.n else 0
+            if len(at) > self.n:
+                least = max(least, int(np.partition(scores[at], len(at) - self.n)[len(at) - self.n]))
+            at = at[scores[at] >= least]
+            joined = np.concatenate([had, scores[at]]), np.concatenate([had_ids, ids[at]]), np.concatenate([had_keys, keys[at]])
+            order = np.lexsort((joined[2], joined[1], -joined[0]))[: self.n]
+            self.found[i] = tuple(x[order] for x in joined)
+
+    def rows(self) -> pa.RecordBatch:
+        asked = np.repeat(self.query_ids, [len(f[0]) for f in self.found])
+        columns = [np.concatenate([f[c] for f in self.found]) for c in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (asked, *columns)], ["query_id", "near", "vec_id", "key"])
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v) of vectors that take part."""
-    v = F.col(vector_col).cast("array<double>")
+    """(vec_id, v) of vectors that take part; v keeps its kind of number where that is float or double."""
+    v = F.col(vector_col) if dict(vectors.dtypes)[vector_col] == "array<float>" else F.col(vector_col).cast("array<double>")
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     return vectors.filter(F.coalesce(fine, F.lit(False)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
 
 
-def blocked(rows: DataFrame, per_block: int, n: int) -> DataFrame:
-    """(block, ids, flat): so many rows a block, by a hash, as packed numbers in the order of ids."""
-    many = max(1, -(-n // per_block))
-    dealt = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v", F.monotonically_increasing_id()), F.lit(many)).cast("int").alias("block"))
-
-    def pack(given: pa.Table) -> pa.Table:
-        ids = given.column("vec_id").to_numpy()
-        flat = given.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        order = np.argsort(ids, kind="stable")
-        return pa.table({"block": pa.array([given.column("block")[0].as_py()], pa.int32()), "ids": pa.array([ids[order].astype(np.int64).tobytes()], pa.binary()), "flat": pa.array([flat[order].tobytes()], pa.binary())})
-
-    return dealt.repartition(F.col("block")).groupBy("block").applyInArrow(pack, "block int, ids binary, flat binary")
+def matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """Vectors of an Arrow column as rows of doubles, with zeros up to whole parts."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), dims)
+    return np.pad(x, ((0, 0), (0, -dims % SUBSPACE)))
 
 
 def search(vectors: DataFrame, every: int = 20, top: int = TOP, rerank: int = RERANK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -144,49 +161,87 @@ def search(vectors: DataFrame, every: int = 20, top: int = TOP, rerank: int = RE
     if not sizes:
         return spark.createDataFrame([], schema)
     dims, n = sizes[0]["d"], sizes[0]["count"]
+    rerank = max(top, int(rerank * max(1.0, (n / RERANK_ROWS) ** 0.5)))
     given = given.filter(F.size("v") == dims)
-    pad = -dims % SUBSPACE
     drawn = given.filter(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < min(1.0, 1.5 * SAMPLE / n) * (1 << 30))
     sample = [r["v"] for r in drawn.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()] or [r["v"] for r in given.limit(SAMPLE).collect()]
-    widen = lambda x: np.pad(x, ((0, 0), (0, pad)))
-    books = spark.sparkContext.broadcast(fit(widen(np.array(sample))))
-    asked = given.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_asked = asked.count()
-    queries = blocked(asked, QUERY_BLOCK, max(1, n_asked)).select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
-    queries = settle(queries)
+    books = spark.sparkContext.broadcast(fit(matrix(pa.array(sample, pa.list_(pa.float64())), dims)))
 
     def add_codes(batches):
         for batch in batches:
-            out = [code(widen(np.frombuffer(f, float).reshape(-1, dims)), books.value) for f in batch.column(2).to_pylist()]
-            packed = [(c[:, ::2] | np.pad(c, ((0, 0), (0, c.shape[1] % 2)))[:, 1::2] << 4).tobytes() for c in out]
-            yield batch.append_column("codes", pa.array(packed, pa.binary()))
-
-    rows = blocked(given, ROW_BLOCK, n).mapInArrow(add_codes, "block int, ids binary, flat binary, codes binary")
-    parts = (dims + pad) // SUBSPACE
-    # each block of rows goes once to each block of queries; these are blocks, not rows, and the numbers are made without a join
-    many = max(1, -(-n_asked // QUERY_BLOCK))
-    row_blocks = max(1, -(-n // ROW_BLOCK))
-    met = settle(rows).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
-    met = met.join(queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)))), ["q", "block"])
+            if batch.num_rows:
+                codes = packed(code(matrix(batch.column("v"), dims), books.value))
+                yield batch.append_column("code", pa.array([c.tobytes() for c in codes], pa.binary()))
+
+    # written once with its keys: whatever reads it later meets the same rows, also after an executor is lost
+    kind = dict(given.dtypes)["v"]
+    index = settle(in_python(given.select(F.monotonically_increasing_id().alias("key"), "vec_id", "v"), add_codes, f"key long, vec_id long, v {kind}, code binary"))
+    asked = settle(index.filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q")))
+    many, strands = max(1, -(-asked.count() // QUERY_BLOCK)), max(1, -(-n // STRAND))
+    # a meeting of a strand of codes and a block of queries: the queries' rows first, then blocks of codes as they are read
+
+    def pack_codes(batches):
+        held, size = [], 0
+
+        def flush():
+            key, ids, code = (np.concatenate(c) for c in zip(*held, strict=True))
+            return pa.RecordBatch.from_pydict({"keys": pa.array([key.tobytes()], pa.binary()), "ids": pa.array([ids.tobytes()], pa.binary()), "flat": pa.array([code.tobytes()], pa.binary())})
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column("key").to_numpy(), batch.column("vec_id").to_numpy(), np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8)))
+                size += batch.num_rows
+            if size >= ROW_BLOCK:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    def pack_queries(group: pa.Table) -> pa.Table:
+        group = group.sort_by("query_id")
+        flat = matrix(group.column("q").combine_chunks(), dims)
+        return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "ids": pa.array([group.column("query_id").to_numpy().tobytes()], pa.binary()), "flat": pa.array([flat.tobytes()], pa.binary())})
+
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    # of rows with one vector a query needs its first few by id at most, leaving out its own: the others would crowd out candidates
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("vec_id", "key"))
+    codes = index.select("key", "vec_id", "code", F.xxhash64("v").alias("same"))
+    codes = codes.withColumn("nth", first("same", "vec_id")).filter(F.col("nth") <= top).withColumn("nth", first("same")).filter(F.col("nth") <= 2 * top)
+    blocks = in_python(codes.select("key", "vec_id", "code"), pack_codes, "keys binary, ids binary, flat binary")
+    blocks = blocks.select(each(many).alias("block"), F.pmod(F.xxhash64("keys"), F.lit(strands)).cast("int").alias("strand"), F.lit(True).alias("codes"), "keys", "ids", "flat")
+    queries = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(many)).cast("int")).groupBy("block").applyInArrow(pack_queries, "block int, ids binary, flat binary")
+    queries = queries.select("block", each(strands).alias("strand"), F.lit(False).alias("codes"), F.lit(b"").alias("keys"), "ids", "flat")
+    met = queries.unionByName(blocks).repartition(min(many * strands, 1 << 16), "block", "strand").sortWithinPartitions("block", "strand", "codes")
 
     def meet(batches):
+        now, best = None, None
         for batch in batches:
-            got = []
-            for ids, flat, codes, q_ids, q_flat in zip(*[batch.column(c).to_pylist() for c in ("ids", "flat", "codes", "q_ids", "q_flat")], strict=True):
-                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                x, q = widen(np.frombuffer(flat, float).reshape(-1, dims)), widen(np.frombuffer(q_flat, float).reshape(-1, dims))
-                packed = np.frombuffer(codes, np.uint8).reshape(len(ids), -1)
-                four = np.stack([packed & 15, packed >> 4], 2).reshape(len(ids), -1)[:, :parts]
-                for query_id, (rows_, scores) in zip(q_ids.tolist(), best(q, q_ids, ids, x, four, books.value, top, rerank), strict=True):
-                    got.append((np.full(len(rows_), query_id), ids[rows_], scores))
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got, strict=True)], ["query_id", "vec_id", "score"])
-
-    found = in_python(met.select("ids", "flat", "codes", "q_ids", "q_flat"), meet, "query_id long, vec_id long, score double")
-    # a query's row has one answer list a block; repeated query rows are one query
-    ordered = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(ordered)).filter(F.col("rank") <= top)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            for block, strand, codes, keys, ids, flat in zip(*[batch.column(c).to_pylist() for c in range(6)], strict=True):
+                if (block, strand) != now:
+                    if best is not None:
+                        yield best.rows()
+                    now, best = (block, strand), None
+                ids = np.frombuffer(ids, np.int64)
+                if not codes:
+                    best = Best(ids, np.frombuffer(flat, float).reshape(len(ids), -1), books.value, rerank)
+                elif best is not None:  # a block without queries asks nothing
+                    best.meet(np.frombuffer(keys, np.int64), ids, np.frombuffer(flat, np.uint8).reshape(len(ids), -1))
+        if best is not None:
+            yield best.rows()
+
+    near = in_python(met.select("block", "strand", "codes", "keys", "ids", "flat"), meet, "query_id long, near long, vec_id long, key long")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id", "key"))
+    near = near.withColumn("place", place).filter(F.col("place") <= rerank).select("query_id", "key")
+
+    def score(batches):
+        for batch in batches:
+            got = np.einsum("ij,ij->i", matrix(batch.column("v"), dims), matrix(batch.column("q"), dims))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(got)], ["query_id", "vec_id", "score"])
+
+    pairs = near.join(index.select("key", "vec_id", "v"), "key").join(asked, "query_id").select("query_id", "vec_id", "v", "q")
+    found = in_python(pairs, score, "query_id long, vec_id long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
+    return ranked.filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

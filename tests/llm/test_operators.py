@@ -248,6 +248,38 @@ def test_a_repeated_query_id_asks_with_its_least_vector(spark):
     assert rows == {(0, 1): (20, 1.0), (0, 2): (3, 0.0), (20, 1): (0, 2.0), (20, 2): (0, 1.0), (20, 3): (3, 0.0)}
 
 
+def test_copies_of_a_vector_crowd_out_no_candidate(spark):
+    """More equal vectors than candidates, among them many rows of one query's own id, beside better and worse ones."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 8))
+    x[100:500] = x[0] * 1.5
+    ids = np.concatenate([np.arange(500), np.full(60, 40), np.arange(560, 600)])
+    x[500:560] = x[100]
+    table = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    found = collections.defaultdict(list)
+    for r in ann.search(table, rerank=60).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["vec_id"], round(r["score"], 9)))
+    for q, got in found.items():
+        asks = min(x[ids == q].tolist())
+        right = sorted([(-round(float(np.dot(v, asks)), 9), int(i)) for i, v in zip(ids, x, strict=True) if i != q])[:20]
+        assert len({g for g in got} & {(i, -s) for s, i in right}) >= 0.9 * len(set(right))
+    assert len(found[0]) == 20 and all(100 <= i < 500 or i == 40 for i, _ in found[0])
+
+
+@pytest.mark.parametrize(("dims", "n"), [(5, 300), (1536, 300)])
+def test_ann_codes_meet_only_their_blocks(spark, monkeypatch, dims, n):
+    """Many blocks and strands, dimensions that fill no byte, and sums beyond 16 bits give what one block gives."""
+    rng = np.random.default_rng(2)
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(n, dims)))], "vec_id long, embedding array<double>").repartition(3, "vec_id")
+    monkeypatch.setattr(ann, "SAMPLE", 60)
+    monkeypatch.setattr(ann, "ROUNDS", 2)
+    whole = sorted(ann.search(table, top=5, rerank=300).collect())
+    for name, size in (("ROW_BLOCK", 16), ("QUERY_BLOCK", 4), ("STRAND", 90)):
+        monkeypatch.setattr(ann, name, size)
+    cut = sorted(ann.search(table, top=5, rerank=300).collect())
+    assert [r[:3] for r in whole] == [r[:3] for r in cut] and len(cut) == 5 * n // 20
+
+
 @pytest.mark.parametrize("parts", [16, 257, 258, 1000])
 def test_ann_scan_sums_do_not_wrap(parts):
     lut = np.zeros((parts, ann.CENTRES), np.uint8)

@@ -9,7 +9,8 @@ from lodestone.functions.text import STOP_WORDS, tokens
 from lodestone.operators import retrieval as R
 from lodestone.sources.tables import table
 
-#: Vectors whose id is divisible by this are the queries of the vector searches; those of the text searches are all benchmark items.
+#: Rows whose id is divisible by this are the queries of the vector searches and of the cross-encoder, which reads every pair; all
+#: benchmark items are those of the other text searches.
 EVERY = 50
 
 
@@ -21,6 +22,10 @@ def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def cross_query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query_set(spark, sf_dir).filter(F.col("query_id") % EVERY == 0)
+
+
 def tokenize(spark, sf_dir):
     return corpus(spark, sf_dir).select("doc_id", F.size(tokens(F.col("text"))).alias("token_count"))
 
@@ -88,13 +93,13 @@ def encoded_rank(spark, sf_dir):
 
 
 def cross_rank(spark, sf_dir):
-    docs, queries = corpus(spark, sf_dir), query_set(spark, sf_dir)
+    docs, queries = corpus(spark, sf_dir), cross_query_set(spark, sf_dir)
     return R.stable_rank(R.RUNNERS["cross_encoder"](docs, queries)).select("query_id", "doc_id", "doc_rank", "doc_score")
 
 
 def whatif_batch(spark, sf_dir):
     """Documents with the query put before their first 110 or 70 words, or before all of them."""
-    docs, queries = corpus(spark, sf_dir), query_set(spark, sf_dir)
+    docs, queries = corpus(spark, sf_dir), cross_query_set(spark, sf_dir)
     i = F.col("doc_id")
     keep = F.when(i % 3 == 0, 110).when(i % 3 == 1, 70)
     edits = docs.filter((i % 90).isin(7, 8, 9)).select("doc_id", keep.alias("keep")).join(R.small(queries.select("query_id", F.col("text").alias("lead"))))
@@ -153,7 +158,7 @@ def graph_sql(name: str) -> str:
     return graphs.EDGES if name == "EDGES" else graphs._ranks_sql()
 
 
-CROSS = f"""{BASE}, cr AS (SELECT query_id, doc_id, round(coalesce(len(list_intersect(list_distinct(q.t), list_distinct(d.t[1:512])))::DOUBLE / nullif(len(list_distinct(list_concat(q.t, d.t[1:512]))), 0), 0), 6) AS doc_score FROM qs q CROSS JOIN toks d),
+CROSS = f"""{BASE}, cr AS (SELECT query_id, doc_id, round(coalesce(len(list_intersect(list_distinct(q.t), list_distinct(d.t[1:512])))::DOUBLE / nullif(len(list_distinct(list_concat(q.t, d.t[1:512]))), 0), 0), 6) AS doc_score FROM qs q CROSS JOIN toks d WHERE query_id % {EVERY} = 0),
 cr_rank AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_score DESC, doc_id) AS doc_rank, doc_score FROM cr)"""
 HASHED = "list_transform(range(64), lambda d: len(list_filter(list_transform({t}, lambda w: ('0x' || substr(md5(w), 1, 2))::INT % 64), lambda x: x = d))::DOUBLE)"
 ORACLE_SQL = {
@@ -163,7 +168,7 @@ SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_s
     "cross_rank": f"WITH {CROSS} SELECT * FROM cr_rank",
     "whatif_batch": rf"""WITH {CROSS},
 ed AS (SELECT item_id AS query_id, doc_id, {sql_tokens("b.text")} AS q, {sql_tokens("b.text || ' ' || CASE doc_id % 3 WHEN 0 THEN array_to_string(regexp_split_to_array(trim(d.text), '\\s+')[1:110], ' ') WHEN 1 THEN array_to_string(regexp_split_to_array(trim(d.text), '\\s+')[1:70], ' ') ELSE d.text END")} AS t
-    FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) d CROSS JOIN benchmark b WHERE doc_id % 90 IN (7, 8, 9)),
+    FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) d CROSS JOIN benchmark b WHERE item_id % {EVERY} = 0 AND doc_id % 90 IN (7, 8, 9)),
 n AS (SELECT query_id, doc_id, round(coalesce(len(list_intersect(list_distinct(q), list_distinct(t[1:512])))::DOUBLE / nullif(len(list_distinct(list_concat(q, t[1:512]))), 0), 0), 6) AS new_score FROM ed)
 SELECT n.query_id, n.doc_id, o.doc_rank AS old_rank, 1 + count(*) FILTER (WHERE r.doc_id <> n.doc_id AND (r.doc_score > new_score OR (r.doc_score = new_score AND r.doc_rank < o.doc_rank))) AS new_rank, any_value(o.doc_score) AS old_score, any_value(new_score) AS new_score
 FROM n JOIN cr_rank o ON o.query_id = n.query_id AND o.doc_id = n.doc_id JOIN cr_rank r ON r.query_id = n.query_id GROUP BY n.query_id, n.doc_id, o.doc_rank""",

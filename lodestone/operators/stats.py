@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import let
+from lodestone.operators.steps import step
 
 #: Width of the cells of whole numbers in which average ranks are worked out.
 CELL = 4096
+#: Rows of a block in which pairs of ranks are counted, and blocks of a group at most.
+BLOCK, BLOCKS = 1 << 16, 1024
 #: Slope of the line that tau and rho of normal data lie near.
 GREINER = 1.5
 
@@ -20,21 +23,29 @@ def rank_features(ranking: DataFrame, features: DataFrame) -> DataFrame:
     return ranking.select("query_id", "doc_id", "doc_rank").join(long, "doc_id")
 
 
-def average_ranks(rows: DataFrame, by: list[str], column: str, out: str) -> DataFrame:
-    """Adds ranks in which ties share their mean. Counts of the distinct values go into running sums within cells of the scale
-    (of whole numbers CELL wide, or a hundredth of the magnitude), after the sums of the cells before: no window holds a group."""
+def places(rows: DataFrame, by: list[str], column: str) -> DataFrame:
+    """(by, column, _low, _n, _all): of each distinct value, how many rows of its group are below it, hold it, and are there.
+
+    Counts of the distinct values go into running sums within cells of the scale (of whole numbers CELL wide, or a hundredth of
+    the magnitude), after the sums of the cells before: no window holds a group."""
     counts = rows.groupBy(*by, column).agg(F.count("*").alias("_n"))
     x = F.col(column)
     whole = dict(rows.dtypes)[column] in ("int", "bigint")
     cell = F.floor(x / CELL) if whole else F.floor(F.signum(x) * F.log1p(F.abs(x)) * 64)
     counts = counts.withColumn("_cell", cell.cast("long"))
     cells = counts.groupBy(*by, "_cell").agg(F.sum("_n").alias("_m"))
-    ahead = F.coalesce(F.sum("_m").over(Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.select(*by, "_cell", ahead.alias("_ahead"))
+    group = Window.partitionBy(*by)
+    ahead = F.coalesce(F.sum("_m").over(group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select(*by, "_cell", ahead.alias("_ahead"), F.sum("_m").over(group).alias("_all"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by, "_cell").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.withColumn("_before", before).join(cells, [*by, "_cell"])
-    counts = counts.select(*by, column, (F.col("_ahead") + F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
-    return rows.join(counts, [*by, column])
+    return counts.select(*by, column, (F.col("_ahead") + F.col("_before")).alias("_low"), "_n", "_all")
+
+
+def average_ranks(rows: DataFrame, by: list[str], column: str, out: str) -> DataFrame:
+    """Adds ranks in which ties share their mean."""
+    ranks = places(rows, by, column).select(*by, column, (F.col("_low") + (F.col("_n") + 1) / 2).alias(out))
+    return rows.join(ranks, [*by, column])
 
 
 def safe_corr(x: str, y: str) -> Column:
@@ -50,8 +61,9 @@ def spearman(rows: DataFrame) -> DataFrame:
     return ranked.groupBy(*by).agg(safe_corr("_x", "_y").alias("coef"))
 
 
-def tau_b(x, y) -> float | None:
-    """Kendall's tau-b in O(n log n): ties are counted in sorted order, inversions by merging in numpy."""
+def concord(x, y) -> int:
+    """How many more pairs go the same way in x and y than go opposite ways, in O(n log n): ties are counted in sorted order,
+    inversions by merging in numpy."""
     import numpy as np
 
     n = len(x)
@@ -66,7 +78,7 @@ def tau_b(x, y) -> float | None:
 
     total, tied_x, tied_both, tied_y = n * (n - 1) // 2, pairs(x), pairs(x, y), pairs(np.sort(y))
     if total == tied_x or total == tied_y or n < 2:
-        return None
+        return 0
     ranks = np.unique(y, return_inverse=True)[1].astype(np.int64)
     swaps, width = 0, 1
     while width < n:  # bottom-up merge sort; a run's elements that lie behind each element of the next run
@@ -78,21 +90,57 @@ def tau_b(x, y) -> float | None:
         swaps += int((ends - np.searchsorted(left_keys, (key + ranks)[right], "right")).sum())
         ranks = ranks[np.lexsort((ranks, block))]
         width *= 2
-    agree = total - tied_x - tied_y + tied_both - 2 * swaps
-    return agree / float(np.sqrt((total - tied_x) * float(total - tied_y)))
+    return total - tied_x - tied_y + tied_both - 2 * swaps
+
+
+def concord_of_cells(x, y, n) -> float:
+    """The same for cells that hold n rows each; cells of one x or one y count nothing with each other."""
+    import numpy as np
+
+    (xs, i), (ys, j) = np.unique(x, return_inverse=True), np.unique(y, return_inverse=True)
+    grid = np.zeros((len(xs), len(ys)))
+    grid[i, j] = n
+    before = np.cumsum(grid, 0) - grid  # rows of smaller x, by y
+    below = np.cumsum(before, 1)
+    return float((grid * (below - before - (below[:, -1:] - below))).sum())
 
 
 def kendall(rows: DataFrame) -> DataFrame:
-    """(query_id, feature, coef): Kendall's tau-b of value against doc_rank. Pairs of rows never meet in a join."""
-    import pandas as pd
+    """(query_id, feature, coef): Kendall's tau-b of value against doc_rank, null where either is constant.
 
-    def one(key, given: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"query_id": [key[0]], "feature": [key[1]], "coef": [tau_b(given["doc_rank"].to_numpy(), given["value"].to_numpy())]}).astype({"coef": "float64"})
+    Both scales are cut into blocks of places, BLOCKS for a group at most; a value that more rows hold than a block is wide has
+    a block of its own. Pairs of rows in one block of doc_rank are counted in that block, others in one block of value in
+    that one, where only the block of doc_rank is compared, and the rest from the numbers of rows in the cells of the two. So
+    no task holds more of a group than two blocks or its cells, and pairs of rows never meet in a join."""
+    import pandas as pd
 
-    rows = rows.filter("value is not null and not isnan(value) and doc_rank is not null").select("query_id", "feature", "doc_rank", "value")
-    kind = rows.schema["query_id"].dataType.simpleString()
-    out = rows.groupBy("query_id", "feature").applyInPandas(one, f"query_id {kind}, feature string, coef double")
-    return out.withColumn("coef", F.nanvl("coef", F.lit(None).cast("double")))
+    by = ["query_id", "feature"]
+    rows = rows.filter("value is not null and not isnan(value) and doc_rank is not null").select(*by, "doc_rank", "value")
+    schema = f"query_id {rows.schema['query_id'].dataType.simpleString()}, feature string, s double"
+    ties, placed = None, rows
+    for column, block in (("doc_rank", "xb"), ("value", "yb")):
+        at = places(rows, by, column)
+        wide = F.greatest(F.lit(BLOCK), F.ceil(F.col("_all") / BLOCKS))
+        found = at.select(*by, column, (2 * F.floor(F.col("_low") / wide) + (F.col("_n") > wide).cast("long")).alias(block))
+        placed = placed.join(found, [*by, column])
+        n = F.col("_n").cast("double")
+        here = at.groupBy(*by).agg((F.max("_all") * (F.max("_all") - 1.0) / 2 - F.sum(n * (n - 1) / 2)).alias(f"untied_{block}"))
+        ties = here if ties is None else ties.join(here, by)
+    placed = step(placed)
+
+    def counted(how):
+        def one(key: tuple, given: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"query_id": [key[0]], "feature": [key[1]], "s": [float(how(given))]})
+
+        return one
+
+    in_x = placed.filter("xb % 2 = 0").groupBy(*by, "xb").applyInPandas(counted(lambda g: concord(g["doc_rank"].to_numpy(), g["value"].to_numpy())), schema)
+    in_y = placed.filter("yb % 2 = 0").groupBy(*by, "yb").applyInPandas(counted(lambda g: concord(g["xb"].to_numpy(), g["value"].to_numpy())), schema)
+    cells = placed.groupBy(*by, "xb", "yb").agg(F.count("*").alias("n"))
+    across = cells.groupBy(*by).applyInPandas(counted(lambda g: concord_of_cells(g["xb"].to_numpy(), g["yb"].to_numpy(), g["n"].to_numpy())), schema)
+    s = in_x.unionByName(in_y).unionByName(across).groupBy(*by).agg(F.sum("s").alias("s"))
+    coef = F.col("s") / F.nullif(F.sqrt("untied_xb") * F.sqrt("untied_yb"), F.lit(0.0))
+    return ties.join(s, by).select(*by, coef.alias("coef"))
 
 
 def t_two_sided(t: Column, df: Column) -> Column:

@@ -88,17 +88,38 @@ def test_rank_is_a_permutation_with_ties_to_the_smaller_id(spark):
         assert [r["doc_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["doc_rank"])] == want
 
 
-def test_tau_b_against_pairs():
+def sign(v):
+    return (v > 0) - (v < 0)
+
+
+def test_concord_against_pairs():
     import random
 
     rng = random.Random(5)
     for n in (2, 3, 10, 57):
         x, y = [rng.randrange(6) for _ in range(n)], [rng.randrange(9) for _ in range(n)]
-        sign = lambda v: (v > 0) - (v < 0)
-        s = sum(sign(x[i] - x[j]) * sign(y[i] - y[j]) for i in range(n) for j in range(i))
-        a, b = (sum(v[i] != v[j] for i in range(n) for j in range(i)) for v in (x, y))
-        assert S.tau_b(x, y) == (pytest.approx(s / math.sqrt(a * b)) if a and b else None)
-    assert S.tau_b([1, 1, 1], [1, 2, 3]) is None and S.tau_b([1, 2, 3], [1, 2, 3]) == 1
+        assert S.concord(x, y) == sum(sign(x[i] - x[j]) * sign(y[i] - y[j]) for i in range(n) for j in range(i))
+    assert S.concord([1, 1, 1], [1, 2, 3]) == 0 and S.concord([1, 2, 3], [1, 2, 3]) == 3 and S.concord([], []) == 0
+
+
+@pytest.mark.parametrize(("block", "blocks"), [(3, 1000), (1, 8), (1 << 16, 1024)])
+def test_kendall_does_not_depend_on_blocks(spark, monkeypatch, block, blocks):
+    """Groups of ties far wider than a block, constant columns, nulls and NaN."""
+    import random
+
+    monkeypatch.setattr(S, "BLOCK", block)
+    monkeypatch.setattr(S, "BLOCKS", blocks)
+    rng, rows = random.Random(6), []
+    for q, values in ((1, 50), (2, 4), (3, 1), (4, 9)):
+        for i in range(60):
+            v = float(rng.randrange(values)) * rng.choice([-1, 1]) if q != 4 or i % 3 else 5.0
+            rows.append((q, "f", (i + 1) if q != 2 else rng.randrange(20), None if i == 7 else float("nan") if i == 8 else v))
+    got = {r["query_id"]: r["coef"] for r in S.kendall(spark.createDataFrame(rows, "query_id int, feature string, doc_rank int, value double")).collect()}
+    for q in (1, 2, 3, 4):
+        x, y = zip(*[(r, v) for g, _, r, v in rows if g == q and v is not None and v == v], strict=True)
+        s = sum(sign(x[i] - x[j]) * sign(y[i] - y[j]) for i in range(len(x)) for j in range(i))
+        a, b = (sum(v[i] != v[j] for i in range(len(v)) for j in range(i)) for v in (x, y))
+        assert got[q] == (pytest.approx(s / math.sqrt(a * b), abs=1e-12) if a and b else None)
 
 
 def test_p_values(spark):

@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import let, tokens
 from lodestone.operators.ranking import ID_BITS, STEPS, stable_rank
+from lodestone.operators.steps import step
 
 K1, B = 1.5, 0.75
 #: Rows of a stated query set up to which it is sent to all tasks; a larger one is dealt out.
 SENT_ROWS = 100_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, sent to all tasks if it has at most SENT_ROWS rows; else Spark chooses how to join it."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).head(SENT_ROWS + 1)) <= SENT_ROWS else df
+def small(df: DataFrame, bound: DataFrame | None = None) -> DataFrame:
+    """df, sent to all tasks if it, or what it has no more rows than, has at most SENT_ROWS rows; else Spark chooses how to join it."""
+    return F.broadcast(df) if len((df if bound is None else bound).select(F.lit(1)).head(SENT_ROWS + 1)) <= SENT_ROWS else df
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -30,11 +31,15 @@ def lengths(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size(tokens(F.coalesce(F.col("text"), F.lit("")))).alias("dl"))
 
 
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """(term, df): rows that hold the term. Counted before anything is shuffled, so what moves is a task's vocabulary."""
+    return docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """(term, df, idf) with idf = ln(1 + (N - df + .5) / (df + .5))."""
-    df = term_counts(docs).groupBy("term").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n"))
-    return df.join(F.broadcast(n)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    return document_frequencies(docs).join(F.broadcast(n)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -55,26 +60,39 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return weighted.join(small(terms), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("doc_score"))
 
 
-def tfidf_weights(docs: DataFrame) -> DataFrame:
+def with_frequency(tf: DataFrame, df: DataFrame) -> DataFrame:
+    """tf with each term's df. Terms that hold over 1/SENT_ROWS of all postings are fewer than SENT_ROWS: they are sent to all
+    tasks, and their many rows stay where they are. The rest, none of them frequent, are dealt by term."""
+    total = df.agg(F.sum("df")).first()[0] or 0
+    frequent = F.col("df") * SENT_ROWS > total
+    tf = tf.filter("term is not null")
+    sent = tf.join(F.broadcast(df.filter(frequent)), "term")
+    if df.filter(~frequent).isEmpty():
+        return sent
+    dealt = tf.join(F.broadcast(df.filter(frequent).select("term")), "term", "left_anti").join(df.filter(~frequent), "term")
+    return sent.unionByName(dealt)
+
+
+def tfidf_weights(docs: DataFrame, df: DataFrame | None = None) -> DataFrame:
     """(doc_id, term, weight): tf (ln((1+N)/(1+df)) + 1), each document's weights of length 1."""
-    tf = term_counts(docs)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n"))
-    raw = tf.join(df, "term").join(F.broadcast(n)).select("doc_id", "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("raw"))
+    tf = with_frequency(term_counts(docs), step(document_frequencies(docs)) if df is None else df)
+    raw = tf.join(F.broadcast(n)).select("doc_id", "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("raw"))
     norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return raw.join(norm, "doc_id").select("doc_id", "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
 def tfidf(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, doc_score): cosine; query terms that no document has are ignored."""
-    weights = tfidf_weights(docs)
-    df = term_counts(docs).groupBy("term").agg(F.count("*").alias("df"))
+    df = step(document_frequencies(docs))
+    weights = tfidf_weights(docs, df)
     n = docs.agg(F.count("*").alias("n"))
-    q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
-    q = q.join(df, "term").join(F.broadcast(n)).select("query_id", "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("raw"))
+    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
+    q = asked.join(df, "term").join(F.broadcast(n)).select("query_id", "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("raw"))
     norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     q = q.join(norm, "query_id").select("query_id", "term", (F.col("raw") / F.col("norm")).alias("qw"))
-    return weights.join(q, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("doc_score"))
+    # the query terms go to the documents' weights where they are few
+    return weights.join(small(q, asked), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("doc_score"))
 
 
 def with_zeros(scores: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:

@@ -211,3 +211,17 @@ def test_average_ranks_do_not_depend_on_cells(spark, monkeypatch):
     assert {r["r"]: r["a"] for r in S.average_ranks(rows, ["g"], "x", "a").collect()} == want
     monkeypatch.setattr(S, "CELL", 3)
     assert {r["r"]: r["b"] for r in S.average_ranks(rows, ["g"], "r", "b").collect()} == {i: i + 1.0 for i in range(8)}
+
+
+def test_weights_do_not_depend_on_which_terms_are_frequent(spark, monkeypatch):
+    rows = [(i, " ".join(["common"] * (1 + i % 3) + [f"word{j}" for j in range(i % 7, 40, 5)] + [f"rare{i}"])) for i in range(40)] + [(40, None), (41, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    queries = spark.createDataFrame([(0, "common word3 rare5 nowhere"), (1, "word6"), (2, None)], "query_id long, text string")
+    taken = lambda: (sorted((r[0], r[1], round(r[2], 9)) for r in R.tfidf_weights(docs).collect()), sorted(tuple(r) for r in R.tfidf(docs, queries).collect()))
+    whole = taken()
+    assert len(whole[0]) > 300 and {q for q, _, _ in whole[1]} == {0, 1}
+    for rows in (20, 0):
+        monkeypatch.setattr(R, "SENT_ROWS", rows)
+        assert taken() == whole
+    assert {r["term"]: r["df"] for r in R.document_frequencies(docs).collect()}["common"] == 40
+    assert R.tfidf_weights(docs.limit(0)).collect() == []

@@ -228,8 +228,9 @@ def default_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, keep: bool = True) -> DataFrame:
-    """Per row: id, n_tokens, ids (unsigned 32-bit, as binary), decoded (text), both digests. keep=False leaves ids and text out."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, keep: bool = True, more: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, n_tokens, ids (unsigned 32-bit, as binary), decoded (text), both digests, and the columns named in more as they are.
+    keep=False leaves ids and text out."""
     path = path or default_path()
     tail = ", ids binary, decoded string" if keep else ""
 
@@ -247,10 +248,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             if keep:
                 columns += [pa.array([i for i, _ in found], pa.binary()), pa.array([t.decode() for _, t in found], pa.string())]
                 names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays(columns + batch.columns[2:], names + list(more))
         bpe.forget()  # the worker stays, and what runs in it next needs the memory
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more)
+    tail += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*more).schema)
     return in_python(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + tail)
 
 

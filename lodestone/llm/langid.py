@@ -7,8 +7,11 @@ and near -1 for the others. Texts are scored in batches, by products of presence
 
 Likeness says whether a text is like those that were learned from at all: the share of its letter trigrams (exact, a blank for
 each run of other characters) that training rows hold, less the share that the text's own letters would reach in random order,
-over the most that this can be. Neither share depends on the text's length. A trigram is known if RARE of a language's rows
-hold it, one at least. The limit is set from held-out training rows: half of them teach, the others are measured.
+over the most that this can be. Neither share depends on the text's length. A trigram is known if RARE of a language's training
+texts hold it, one at least; copies, alike in letters and blanks, are one text. The limit is set from held-out training rows: half
+of them teach, the others are measured. As a text that taught knows itself where few rows teach a language, it must also reach
+LEAST by what others teach, its copies left out; not so if it has under MANY trigrams, or in a language whose texts mostly do not
+reach it, as one that has a single text.
 
 The model is fitted to at most PER_LANGUAGE rows of each language and TOTAL of all, none longer than TRAIN_CHARS, of at most
 LANGUAGES languages (documented bounds of the sample); every text is scored whole, in stretches. Defined results: a text that
@@ -20,6 +23,7 @@ rows are kept one to one; columns other than id, text and language are not read.
 from __future__ import annotations
 
 import functools
+import hashlib
 import unicodedata
 
 import numpy as np
@@ -35,10 +39,11 @@ PER_LANGUAGE, LANDMARKS, TRAIN_CHARS, RIDGE = 300, 24, 20_000, 1e-3
 LANGUAGES, TOTAL = 200, 6000
 #: Characters that are hashed at once, and texts scored at once.
 STRETCH, TEXTS = 1 << 20, 128
-#: A trigram is known if this share of a language's training rows hold it.
+#: A trigram is known if this share of a language's training texts hold it.
 RARE = 0.02
-#: A document is rejected if its likeness is below this share of the median of held-out training rows, or below LEAST.
-REJECT_BELOW, LEAST = 0.5, 0.1
+#: A document is rejected if its likeness is below this share of the median of held-out training rows, or below LEAST, or if it has
+#: MANY different trigrams and is below LEAST by what other texts teach.
+REJECT_BELOW, LEAST, MANY = 0.5, 0.1, 10
 
 
 def held_out(doc_id: Column) -> Column:
@@ -94,15 +99,27 @@ def trigrams(x: np.ndarray, base: int) -> np.ndarray:
 
 
 def learned(rows: list[tuple[str, str]]) -> dict:
-    """The letters of the rows, and the trigrams known from them."""
+    """The letters of the rows, the trigrams known from them, and by text the places of those that none but it and its copies teach."""
     alphabet = np.array(sorted({ord(c) for _, text in rows for c in text.lower()}), np.int64)
     alphabet = alphabet[letters()[alphabet]] if len(alphabet) else alphabet
-    places, base, known = placed(alphabet), len(alphabet) + 2, [np.zeros(0, np.int64)]
+    places, base, known, alone = placed(alphabet), len(alphabet) + 2, [np.zeros(0, np.int64)], {}
     for lang in sorted({lang for lang, _ in rows}):
-        held = [np.unique(np.concatenate([trigrams(x, base) for x in spelled(text, places)])) for of, text in rows if of == lang]
-        found, times = np.unique(np.concatenate(held), return_counts=True)
-        known.append(found[times >= max(1.0, RARE * len(held))])
-    return {"alphabet": alphabet, "known": np.unique(np.concatenate(known))}
+        held = {}
+        for h in (np.concatenate([trigrams(x, base) for x in spelled(text, places)]) for of, text in rows if of == lang):
+            held[hashlib.blake2b(h, digest_size=16).digest()] = np.unique(h)
+        found, times = np.unique(np.concatenate(list(held.values())), return_counts=True)
+        least = max(1.0, RARE * len(held))
+        known.append(found[times >= least])
+        scarce = found[(times >= least) & (times - 1 < least)]
+        for sign, h in ((sign, h) for sign, h in held.items() if len(h) >= MANY):
+            alone.setdefault(sign, []).append(np.intersect1d(h, scarce, assume_unique=True))
+    known, languages = np.unique(np.concatenate(known), return_counts=True)
+    own = {}
+    for sign, parts in alone.items():
+        h, times = np.unique(np.concatenate(parts), return_counts=True)
+        at = np.searchsorted(known, h)
+        own[sign] = at[times == languages[at]].astype(np.int32)
+    return {"alphabet": alphabet, "known": known, "own": {sign: at for sign, at in own.items() if len(at)}}
 
 
 def placed(alphabet: np.ndarray) -> np.ndarray:
@@ -112,25 +129,37 @@ def placed(alphabet: np.ndarray) -> np.ndarray:
     return places
 
 
-def likeness(seen: dict, texts: list[str]) -> list[float]:
-    """1 if all trigrams of a text are known, about 0 if no more are than by chance."""
-    alphabet, known = seen["alphabet"], seen["known"]
-    places, base, out = placed(alphabet), len(alphabet) + 2, []
-    of = (known // base**2, known // base % base, known % base)
+def measured(text: str, known: np.ndarray, of: tuple, places: np.ndarray, base: int) -> tuple[bytes, float]:
+    """What a text shares with its copies only, and its likeness by the known trigrams. of: the three places of each."""
+    n, hits, counts, sign = 0, 0, np.zeros(base), hashlib.blake2b(digest_size=16)
+    for x in spelled(text, places):
+        h = trigrams(x, base)
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        n, hits, counts = n + len(h), hits + int((known[at] == h).sum()) if len(known) else 0, counts + np.bincount(x, minlength=base)
+        sign.update(h)
+    p = counts / max(counts.sum(), 1)
+    # no two blanks stand side by side
+    chance = float((p[of[0]] * p[of[1]] * p[of[2]]).sum()) / max(1 - 2 * p[0] ** 2 + p[0] ** 3, 1e-9)
+    return sign.digest(), 0.0 if not n else 1.0 if hits == n else (hits / n - chance) / max(1 - chance, 1e-9)
+
+
+def likenesses(seen: dict, texts: list[str]) -> list[tuple[bytes, float, float]]:
+    """By text: what it shares with its copies only, its likeness, and its likeness by what other texts teach."""
+    places, base, out = placed(seen["alphabet"]), len(seen["alphabet"]) + 2, []
+    split = lambda known: (known, (known // base**2, known // base % base, known % base))
+    known = split(seen["known"])
     for text in texts:
-        n = hits = 0
-        counts = np.zeros(base)
-        for x in spelled(text, places):
-            h = trigrams(x, base)
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            n, hits, counts = n + len(h), hits + int((known[at] == h).sum()) if len(known) else 0, counts + np.bincount(x, minlength=base)
-        p = counts / max(counts.sum(), 1)
-        # no two blanks stand side by side
-        chance = float((p[of[0]] * p[of[1]] * p[of[2]]).sum()) / max(1 - 2 * p[0] ** 2 + p[0] ** 3, 1e-9)
-        out.append(0.0 if not n else 1.0 if hits == n else (hits / n - chance) / max(1 - chance, 1e-9))
+        sign, x = measured(text, *known, places, base)
+        own = seen["own"].get(sign)
+        out.append((sign, x, x if own is None else measured(text, *split(np.delete(seen["known"], own)), places, base)[1]))
     return out
 
 
+def likeness(seen: dict, texts: list[str]) -> list[float]:
+    """1 if all trigrams of a text are known, about 0 if no more are than by chance."""
+    return [x for _, x, _ in likenesses(seen, texts)]
+
+
 def usual(rows: list[tuple[str, str]]) -> float:
     """Median likeness of half the training rows, by what the other half teaches."""
     by = {lang: [row for row in rows if row[0] == lang] for lang in {lang for lang, _ in rows}}
@@ -157,10 +186,14 @@ def fit(rows: list[tuple[str, str]]) -> dict | None:
 
 
 def fit_likeness(rows: list[tuple[str, str]]) -> dict:
-    """What likeness() needs, and the median of held-out training rows."""
-    languages = sorted({lang for lang, _ in rows})
-    rows = [row for lang in languages for row in [r for r in rows if r[0] == lang][:PER_LANGUAGE]]
-    return learned(rows) | {"usual": usual(rows)}
+    """What likenesses() needs, and the median of held-out training rows."""
+    by = {lang: [row for row in rows if row[0] == lang][:PER_LANGUAGE] for lang in sorted({lang for lang, _ in rows})}
+    rows = [row for same in by.values() for row in same]
+    seen = learned(rows)
+    for same in [{sign: x for sign, _, x in likenesses(seen, [text for _, text in same])} for same in by.values()]:
+        if np.median(list(same.values())) < LEAST:
+            seen["own"] = {sign: at for sign, at in seen["own"].items() if sign not in same}
+    return seen | {"usual": usual(rows)}
 
 
 def lettered(text: str | None) -> bool:
@@ -232,7 +265,7 @@ def accepted(docs: DataFrame, reject_below: float = REJECT_BELOW) -> DataFrame:
             keep = [i for i, t in enumerate(texts) if lettered(t)]
             if known:
                 limit = max(LEAST, reject_below * known["usual"])
-                keep = [i for i, x in zip(keep, likeness(known, [texts[i] for i in keep]), strict=True) if x >= limit]
+                keep = [i for i, (_, x, by_others) in zip(keep, likenesses(known, [texts[i] for i in keep]), strict=True) if x >= limit and by_others >= LEAST]
             unknown = [i for i in keep if langs[i] is None] if model else []
             for i, lang in zip(unknown, score(model, landmarks, [texts[i] for i in unknown])[0], strict=True):
                 langs[i] = lang

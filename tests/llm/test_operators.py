@@ -187,6 +187,23 @@ def test_kernel_and_ridge_by_definition():
         assert np.abs(langid.kernel(new, langid.matrix(texts)) @ alpha - langid.kernel(new, model["landmarks"].astype(np.float32)) @ model["coef"][:, lang]).max() < 0.02
 
 
+def test_labelled_junk_does_not_vouch_for_itself(spark):
+    words = {"en": "the of and to in is that for house garden rain hill before cat", "de": "der die und zu das nicht ein ich haus garten regen berg vor katze"}
+    rng = np.random.default_rng(3)
+    rows = [(3 * i, " ".join(rng.choice(words[lang].split(), 30)), lang) for i in range(40) for lang in [list(words)[i % 2]]]
+    han, keys = [chr(c) for c in range(0x4E00, 0x9000)], list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    texts = ["".join(rng.choice(kind, n)) for kind in (han, keys) for n in (40, 1000, 5000)]
+    # ids of both kinds, those that teach and those held out; copies, and copies in other digits
+    junk = [(1000 + 10 * i + k, text + (" 12" if k > 3 else ""), "en") for i, text in enumerate(texts) for k in range(8)]
+    # the only text of a language, one too short to tell, and two of many letters that have little in common
+    more = [(3000, "olen talo", "fi"), (3001, "kuu", "en"), *((4000 + i, "".join(rng.choice(han, 60)), "zh") for i in range(6))]
+    docs = spark.createDataFrame(rows + junk + more, "doc_id long, text string, lang string")
+    taught = {r["doc_id"] for r in docs.filter(~langid.held_out(F.col("doc_id"))).collect()}
+    assert {1000, 1001, 1002, 1003, 1004} & taught and {i for i, *_ in more} & taught
+    kept = {r["doc_id"] for r in langid.accepted(docs).collect()}
+    assert kept >= {i for i, *_ in rows} and not kept & {i for i, *_ in junk} and kept >= {i for i, *_ in more} & taught
+
+
 def test_likeness_does_not_depend_on_where_a_text_is_cut(monkeypatch):
     rows = [("en", "the cat and the dog sat -- in the sun"), ("en", "rain on the hill")]
     seen, texts = langid.learned(rows), ["the rain -- and 日本 the cow", "a", "hill"]

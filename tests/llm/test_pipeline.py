@@ -1,5 +1,7 @@
 """The pipeline's stages, one after the other, on a small table."""
 
+import numpy as np
+
 import corpus_pipeline
 from lodestone.llm import pii, registry
 from lodestone.llm.common import settle
@@ -28,6 +30,17 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in out} == kept[3] and all(len(r["ids"]) == 4 * r["n_tokens"] > 0 for r in out)
 
 
+def test_the_language_reaches_the_result_and_labelled_junk_does_not(spark, tmp_path):
+    words = {"en": "the of and to in is that for house garden rain hill before cat", "de": "der die und zu das nicht ein ich haus garten regen berg vor katze"}
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(words[lang].split(), 40)), lang if i < 30 else None, lang) for i in range(40) for lang in [list(words)[i % 2]]]
+    junk = [(100 + i, "".join(map(chr, rng.integers(0x4E00, 0x9000, 200))), list(words)[i % 2], None) for i in range(8)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang, _ in rows + junk], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(f"item{k}" for k in range(20)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r["doc_id"]: r["lang"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {i: truth for i, _, _, truth in rows}
+
+
 def test_eleven_queries_are_registered():
     names = set(registry.queries())
     assert {n.split("_")[0] for n in names if n != "pipeline"} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names

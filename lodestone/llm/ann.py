@@ -3,13 +3,17 @@
 The codebooks (16 centres for each SUBSPACE of dimensions, so four bits each) are fitted to a bounded sample by the
 anisotropic loss: the part of a residual along its vector, which moves the score of a query that the vector is a good answer
 to, weighs PARALLEL times the part across. All vectors are coded by coordinate descent on the same loss, in one pass that
-writes key, id, vector and code. A query makes tables of its products with the centres, in small integers; the tables of two
-neighbouring parts are added to one that a byte of codes looks up, and the sums of looked up entries rank all vectors.
+writes id, vector, code and what the code leaves of the vector's length. A query makes tables of its products with the
+centres, in small integers; the tables of two neighbouring parts are added to one that a byte of codes looks up, and the sums
+of looked up entries rank all vectors.
 
-Of rows with the very same vector only the first 2 top by id can be an answer, and only they go on. Only codes meet queries: each block of codes goes once to each block of queries, without the vectors, and a task keeps no more
-than the RERANK best of each query of a strand of blocks. The RERANK best of all strands are joined with their vectors by key
-and scored exactly, in double precision. A vector that very many queries find is a hot key of that join, which the skew join of
-adaptive execution splits.
+A sum and the length of the residual give the most that a vector's score can be. The RERANK best sums of the first block of
+vectors are scored exactly, which gives a query a least score to beat; after that every vector that can reach the query's
+20th best score so far is scored exactly, in double precision, and no other. So codes only save work: what they are worth
+on given rows (near copies, groups closer than centres are, lengths of several scales) changes the time, not the answer.
+
+Each block of vectors goes once to each block of queries; blocks of queries grow with their number up to QUERY_MOST, so that
+vectors travel a few times only. A task keeps the best top of each query of its block, and a strand of vectors gives no more.
 
 Defined results: vectors that are null, all zero, of another length than most, or hold null or non-finite components take no
 part; ties go to the smaller vec_id; a query has fewer rows if there are fewer candidates; repeated rows are candidates each,
@@ -28,10 +32,10 @@ from lodestone.llm.common import in_python, settle, table
 
 CENTRES, SUBSPACE, PARALLEL = 16, 2, 4.0
 SAMPLE, ROUNDS = 4000, 12
-#: Codes and queries of a block, and vectors of a strand.
-ROW_BLOCK, QUERY_BLOCK, STRAND = 16384, 256, 1 << 20
-#: A query's candidates that are scored exactly: so many for that many vectors, at least; more by the square root of the vectors.
-RERANK, RERANK_ROWS = 400, 50_000
+#: Vectors and queries of a block, queries of a block at most, and vectors of a strand.
+ROW_BLOCK, QUERY_BLOCK, QUERY_MOST, STRAND = 8192, 512, 16384, 1 << 15
+#: A query's best sums of its first block that are scored exactly before anything is ruled out.
+RERANK = 100
 TOP = 20
 
 
@@ -82,12 +86,12 @@ def fit(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return books
 
 
-def tables(queries: np.ndarray, books: np.ndarray) -> np.ndarray:
-    """(query, part, centre): products as integers of a query's own scale."""
+def tables(queries: np.ndarray, books: np.ndarray):
+    """(query, part, centre): products as integers of a query's own scale, and each query's least product and unit."""
     products = np.einsum("qpd,pkd->qpk", queries.reshape(len(queries), books.shape[0], SUBSPACE), books)
     low = products.min((1, 2), keepdims=True)
     scale = np.maximum(products.max((1, 2), keepdims=True) - low, 1e-30)
-    return np.round((products - low) / scale * 255).astype(np.uint8)
+    return np.round((products - low) / scale * 255).astype(np.uint8), low[:, 0, 0], scale[:, 0, 0] / 255
 
 
 def paired(lut: np.ndarray) -> np.ndarray:
@@ -113,30 +117,48 @@ def scan(lut: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The best rows of each query of a block so far: (score, id, key), higher scores first, ties to the smaller id and key."""
-
-    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, books: np.ndarray, n: int):
-        self.query_ids, self.n = query_ids, n
-        self.luts = [paired(lut) for lut in tables(queries, books)]
-        self.found = [(np.zeros(0, np.int64),) * 3 for _ in query_ids]
-
-    def meet(self, keys: np.ndarray, ids: np.ndarray, codes: np.ndarray) -> None:
-        codes = np.asfortranarray(codes)
-        for i, (query_id, lut) in enumerate(zip(self.query_ids.tolist(), self.luts, strict=True)):
-            scores, (had, had_ids, had_keys) = scan(lut, codes), self.found[i]
-            at = np.flatnonzero(ids != query_id)
-            least = int(had[-1]) if len(had) == self.n else 0
-            if len(at) > self.n:
-                least = max(least, int(np.partition(scores[at], len(at) - self.n)[len(at) - self.n]))
-            at = at[scores[at] >= least]
-            joined = np.concatenate([had, scores[at]]), np.concatenate([had_ids, ids[at]]), np.concatenate([had_keys, keys[at]])
-            order = np.lexsort((joined[2], joined[1], -joined[0]))[: self.n]
-            self.found[i] = tuple(x[order] for x in joined)
+    """The best top rows of each query of a block so far: (score, id), higher scores first, ties to the smaller id."""
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, books: np.ndarray, top: int, rerank: int):
+        self.query_ids, self.queries, self.books, self.top, self.rerank = query_ids, queries, books, top, max(rerank, top)
+        self.found = [(np.zeros(0), np.zeros(0, np.int64)) for _ in query_ids]
+
+    def meet(self, ids: np.ndarray, codes: np.ndarray, left: np.ndarray, vectors: np.ndarray) -> None:
+        """left: the most that a unit vector's product with a row's residual can be."""
+        codes, parts = np.asfortranarray(codes), self.books.shape[0]
+        longest = float(np.sqrt(np.einsum("ij,ij->i", vectors, vectors, dtype=float).max()))
+        for at in range(0, len(self.queries), QUERY_BLOCK):  # so that no more than these tables are held at once
+            asked = self.queries[at : at + QUERY_BLOCK]
+            luts, lows, units = tables(asked, self.books)
+            for i, (q, lut, low, unit) in enumerate(zip(asked, luts, lows.tolist(), units.tolist(), strict=True), at):
+                self.found[i] = self.better(i, q, scan(paired(lut), codes), parts * (low + unit / 2), unit, ids, left, vectors, longest)
+
+    def better(self, i: int, q: np.ndarray, sums: np.ndarray, low: float, unit: float, ids: np.ndarray, left: np.ndarray, vectors: np.ndarray, longest: float):
+        had, had_ids = self.found[i]
+        other = ids != self.query_ids[i]
+        exact = lambda rows: np.einsum("ij,j->i", vectors[rows].astype(float), q)
+        floor = float(had[-1]) if len(had) == self.top else -np.inf
+        if floor == -np.inf:
+            first = np.flatnonzero(other)
+            if len(first) > self.rerank:
+                first = first[np.argpartition(sums[first], len(first) - self.rerank)[-self.rerank :]]
+            if len(first) >= self.top:
+                floor = float(np.partition(exact(first), len(first) - self.top)[len(first) - self.top])
+        length = float(np.linalg.norm(q))
+        can = np.flatnonzero((low + sums * unit + left * length >= floor) & other)
+        if len(can) * 16 > len(ids) and longest * length < 1e30:  # a rough product of them all is cheaper than exact ones of so many
+            rough = vectors @ q.astype(vectors.dtype)
+            can = can[rough[can] >= floor - 1e-5 * longest * length - 1e-30]
+        scores = exact(can)
+        can, scores = can[scores >= floor], scores[scores >= floor]
+        scores, ids = np.concatenate([had, scores]), np.concatenate([had_ids, ids[can]])
+        order = np.lexsort((ids, -scores))[: self.top]
+        return scores[order], ids[order]
 
     def rows(self) -> pa.RecordBatch:
         asked = np.repeat(self.query_ids, [len(f[0]) for f in self.found])
-        columns = [np.concatenate([f[c] for f in self.found]) for c in range(3)]
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (asked, *columns)], ["query_id", "near", "vec_id", "key"])
+        scores, ids = (np.concatenate([f[c] for f in self.found]) for c in range(2))
+        return pa.RecordBatch.from_arrays([pa.array(asked), pa.array(ids.astype(np.int64)), pa.array(scores)], ["query_id", "vec_id", "score"])
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -161,35 +183,43 @@ def search(vectors: DataFrame, every: int = 20, top: int = TOP, rerank: int = RE
     if not sizes:
         return spark.createDataFrame([], schema)
     dims, n = sizes[0]["d"], sizes[0]["count"]
-    rerank = max(top, int(rerank * max(1.0, (n / RERANK_ROWS) ** 0.5)))
     given = given.filter(F.size("v") == dims)
     drawn = given.filter(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < min(1.0, 1.5 * SAMPLE / n) * (1 << 30))
     sample = [r["v"] for r in drawn.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()] or [r["v"] for r in given.limit(SAMPLE).collect()]
     books = spark.sparkContext.broadcast(fit(matrix(pa.array(sample, pa.list_(pa.float64())), dims)))
+    kind = dict(given.dtypes)["v"]
+    number = np.float32 if kind == "array<float>" else np.float64
 
     def add_codes(batches):
         for batch in batches:
             if batch.num_rows:
-                codes = packed(code(matrix(batch.column("v"), dims), books.value))
-                yield batch.append_column("code", pa.array([c.tobytes() for c in codes], pa.binary()))
-
-    # written once with its keys: whatever reads it later meets the same rows, also after an executor is lost
-    kind = dict(given.dtypes)["v"]
-    index = settle(in_python(given.select(F.monotonically_increasing_id().alias("key"), "vec_id", "v"), add_codes, f"key long, vec_id long, v {kind}, code binary"))
+                x = matrix(batch.column("v"), dims)
+                codes = code(x, books.value)
+                made = books.value[np.arange(books.value.shape[0]), codes].reshape(len(x), -1)
+                # a little more than the residual's length: sums and lengths are rounded
+                left = np.linalg.norm(x - made, axis=1) * (1 + 1e-9) + 1e-9 * (np.linalg.norm(x, axis=1) + np.linalg.norm(made, axis=1))
+                batch = batch.append_column("code", pa.array([c.tobytes() for c in packed(codes)], pa.binary()))
+                yield batch.append_column("left", pa.array(left))
+
+    # written once: whatever reads it later meets the same rows, also after an executor is lost
+    index = settle(in_python(given, add_codes, f"vec_id long, v {kind}, code binary, left double"))
     asked = settle(index.filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q")))
-    many, strands = max(1, -(-asked.count() // QUERY_BLOCK)), max(1, -(-n // STRAND))
-    # a meeting of a strand of codes and a block of queries: the queries' rows first, then blocks of codes as they are read
+    n_asked = asked.count()
+    most = min(QUERY_MOST, max(QUERY_BLOCK, n_asked // 8))
+    many, strands = max(1, -(-n_asked // most)), max(1, -(-n // STRAND))
+    # a meeting of a strand of vectors and a block of queries: the queries' rows first, then blocks of vectors as they are read
 
-    def pack_codes(batches):
+    def pack_vectors(batches):
         held, size = [], 0
 
         def flush():
-            key, ids, code = (np.concatenate(c) for c in zip(*held, strict=True))
-            return pa.RecordBatch.from_pydict({"keys": pa.array([key.tobytes()], pa.binary()), "ids": pa.array([ids.tobytes()], pa.binary()), "flat": pa.array([code.tobytes()], pa.binary())})
+            ids, code, left, v = (np.concatenate(c).tobytes() for c in zip(*held, strict=True))
+            return pa.RecordBatch.from_pydict({n: pa.array([x], pa.binary()) for n, x in (("ids", ids), ("flat", v), ("code", code), ("left", left))})
 
         for batch in batches:
             if batch.num_rows:
-                held.append((batch.column("key").to_numpy(), batch.column("vec_id").to_numpy(), np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8)))
+                code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8)
+                held.append((batch.column("vec_id").to_numpy(), code, batch.column("left").to_numpy(), matrix(batch.column("v"), dims).astype(number).ravel()))
                 size += batch.num_rows
             if size >= ROW_BLOCK:
                 yield flush()
@@ -203,43 +233,30 @@ def search(vectors: DataFrame, every: int = 20, top: int = TOP, rerank: int = RE
         return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "ids": pa.array([group.column("query_id").to_numpy().tobytes()], pa.binary()), "flat": pa.array([flat.tobytes()], pa.binary())})
 
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    # of rows with one vector a query needs its first few by id at most, leaving out its own: the others would crowd out candidates
-    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("vec_id", "key"))
-    codes = index.select("key", "vec_id", "code", F.xxhash64("v").alias("same"))
-    codes = codes.withColumn("nth", first("same", "vec_id")).filter(F.col("nth") <= top).withColumn("nth", first("same")).filter(F.col("nth") <= 2 * top)
-    blocks = in_python(codes.select("key", "vec_id", "code"), pack_codes, "keys binary, ids binary, flat binary")
-    blocks = blocks.select(each(many).alias("block"), F.pmod(F.xxhash64("keys"), F.lit(strands)).cast("int").alias("strand"), F.lit(True).alias("codes"), "keys", "ids", "flat")
+    blocks = in_python(index.select("vec_id", "v", "code", "left"), pack_vectors, "ids binary, flat binary, code binary, left binary")
+    blocks = blocks.select(each(many).alias("block"), F.pmod(F.xxhash64("ids"), F.lit(strands)).cast("int").alias("strand"), F.lit(True).alias("vectors"), "ids", "flat", "code", "left")
     queries = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(many)).cast("int")).groupBy("block").applyInArrow(pack_queries, "block int, ids binary, flat binary")
-    queries = queries.select("block", each(strands).alias("strand"), F.lit(False).alias("codes"), F.lit(b"").alias("keys"), "ids", "flat")
-    met = queries.unionByName(blocks).repartition(min(many * strands, 1 << 16), "block", "strand").sortWithinPartitions("block", "strand", "codes")
+    queries = queries.select("block", each(strands).alias("strand"), F.lit(False).alias("vectors"), "ids", "flat", F.lit(b"").alias("code"), F.lit(b"").alias("left"))
+    met = queries.unionByName(blocks).repartition(min(many * strands, 1 << 16), "block", "strand").sortWithinPartitions("block", "strand", "vectors")
 
     def meet(batches):
         now, best = None, None
         for batch in batches:
-            for block, strand, codes, keys, ids, flat in zip(*[batch.column(c).to_pylist() for c in range(6)], strict=True):
+            for row in range(batch.num_rows):
+                block, strand, vectors, ids, flat, code, left = (batch.column(c)[row].as_py() for c in range(7))
                 if (block, strand) != now:
                     if best is not None:
                         yield best.rows()
                     now, best = (block, strand), None
                 ids = np.frombuffer(ids, np.int64)
-                if not codes:
-                    best = Best(ids, np.frombuffer(flat, float).reshape(len(ids), -1), books.value, rerank)
+                if not vectors:
+                    best = Best(ids, np.frombuffer(flat, float).reshape(len(ids), -1), books.value, top, rerank)
                 elif best is not None:  # a block without queries asks nothing
-                    best.meet(np.frombuffer(keys, np.int64), ids, np.frombuffer(flat, np.uint8).reshape(len(ids), -1))
+                    best.meet(ids, np.frombuffer(code, np.uint8).reshape(len(ids), -1), np.frombuffer(left, float), np.frombuffer(flat, number).reshape(len(ids), -1))
         if best is not None:
             yield best.rows()
 
-    near = in_python(met.select("block", "strand", "codes", "keys", "ids", "flat"), meet, "query_id long, near long, vec_id long, key long")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id", "key"))
-    near = near.withColumn("place", place).filter(F.col("place") <= rerank).select("query_id", "key")
-
-    def score(batches):
-        for batch in batches:
-            got = np.einsum("ij,ij->i", matrix(batch.column("v"), dims), matrix(batch.column("q"), dims))
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(got)], ["query_id", "vec_id", "score"])
-
-    pairs = near.join(index.select("key", "vec_id", "v"), "key").join(asked, "query_id").select("query_id", "vec_id", "v", "q")
-    found = in_python(pairs, score, "query_id long, vec_id long, score double")
+    found = in_python(met.select("block", "strand", "vectors", "ids", "flat", "code", "left"), meet, "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
     return ranked.filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 

@@ -283,6 +283,23 @@ def test_copies_of_a_vector_crowd_out_no_candidate(spark):
     assert len(found[0]) == 20 and all(100 <= i < 500 or i == 40 for i, _ in found[0])
 
 
+def test_ann_finds_the_nearest_of_large_groups_of_near_copies(spark):
+    """Groups of more rows than candidates, closer to each other than centres are, and lengths of several scales."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6, 16))[rng.integers(0, 6, 4000)] * (1 + 1e-3 * rng.normal(size=(4000, 16)))
+    x[3000:] = rng.normal(size=(1000, 16)) * 10.0 ** rng.integers(-3, 2, (1000, 1))
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    found = collections.defaultdict(list)
+    for r in ann.search(table, every=40).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append(r["vec_id"])
+    right = {}
+    for q in range(0, 4000, 40):
+        s = np.einsum("ij,j->i", x, x[q])
+        s[q] = -np.inf
+        right[q] = np.lexsort((np.arange(4000), -s))[:20].tolist()
+    assert found == right
+
+
 @pytest.mark.parametrize(("dims", "n"), [(5, 300), (1536, 300)])
 def test_ann_codes_meet_only_their_blocks(spark, monkeypatch, dims, n):
     """Many blocks and strands, dimensions that fill no byte, and sums beyond 16 bits give what one block gives."""

@@ -268,3 +268,17 @@ def test_tokens_in_numpy_are_those_of_the_jvm(spark):
     doc, found = L.runs(told.column("_lower"), L.opened(L.token_points(spark)))
     got = {i: [w for d, w in zip(doc.tolist(), found.to_pylist(), strict=True) if d == i and w not in T.STOP_WORDS] for i in want}
     assert got == want
+
+
+def test_edited_scores_are_rounded_as_sql_rounds_them(spark):
+    """1.5 times a score of six digits ends in a 5 at the seventh: the decimal text of the double and its product with 10^6 differ."""
+    import duckdb
+
+    from lodestone.plans import retrieval as P
+
+    values = [i / 1e6 for i in range(1_000_001, 1_040_000, 2)]
+    con = duckdb.connect()
+    want = [r[0] for r in con.execute("SELECT round(x * 1.5::DOUBLE, 6) FROM (SELECT unnest($1::DOUBLE[]) AS x)", [values]).fetchall()]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r[0] for r in df.select(P.as_sql_rounds(F.col("x") * 1.5)).collect()] == want
+    assert [r[0] for r in df.select(F.round(F.col("x") * 1.5, 6)).collect()] != want

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import features as X
+from lodestone.operators import local as L
 from lodestone.operators import stats as S
-from lodestone.operators.ranking import stable_rank
 from lodestone.operators.steps import step
 from lodestone.plans import retrieval as R
 from lodestone.plans.features import NUMBERS, surface_sql
@@ -23,15 +24,32 @@ def _rows(spark, sf_dir):
 
 
 def rank_feature_join(spark, sf_dir):
-    return _rows(spark, sf_dir)
+    docs = R.corpus(spark, sf_dir)
+    features = X.surface(docs).select("doc_id", *[F.col(n).cast("double").alias(n) for n in NUMBERS])
+    scores = L.bm25(docs, R.query_set(spark, sf_dir), features)
+    return _rows(spark, sf_dir) if scores is None else L.with_columns(scores)
+
+
+def _coefficients(spark, sf_dir, tau: bool):
+    """(query_id, feature, tau, rho), to six digits."""
+    docs = R.corpus(spark, sf_dir)
+    placed, untied = S.feature_places(X.surface(docs))
+    scores = L.bm25(docs, R.query_set(spark, sf_dir), placed)
+    if scores is None:
+        rows = step(_rows(spark, sf_dir))
+        rho = S.spearman(rows).withColumnRenamed("coef", "rho")
+        both = rho.join(S.kendall(rows).withColumnRenamed("coef", "tau"), ["query_id", "feature"]) if tau else rho.withColumn("tau", F.lit(None).cast("double"))
+    else:
+        both = S.rank_coefficients(scores, list(scores.kept), untied, tau)
+    return both.select("query_id", "feature", F.round("tau", 6).alias("tau"), F.round("rho", 6).alias("rho"))
 
 
 def spearman_per_query(spark, sf_dir):
-    return S.spearman(step(_rows(spark, sf_dir))).withColumn("coef", F.round("coef", 6))
+    return _coefficients(spark, sf_dir, False).select("query_id", "feature", F.col("rho").alias("coef"))
 
 
 def kendall_per_query(spark, sf_dir):
-    return S.kendall(_rows(spark, sf_dir)).withColumn("coef", F.round("coef", 6))
+    return _coefficients(spark, sf_dir, True).select("query_id", "feature", F.col("tau").alias("coef"))
 
 
 def _rounded(tests, digits: int = 6, nudge: float = 0.0):
@@ -47,19 +65,20 @@ def bh_fdr(spark, sf_dir):
 
 
 def tau_rho_agreement(spark, sf_dir):
-    rows = step(_rows(spark, sf_dir))
-    rho, tau = (S_(rows).withColumn("coef", F.round("coef", 6)) for S_ in (S.spearman, S.kendall))
-    return _rounded(S.agreement(step(tau), step(rho)), DIGITS, NUDGE)
+    both = step(_coefficients(spark, sf_dir, True))
+    tau, rho = (both.select("query_id", "feature", F.col(c).alias("coef")) for c in ("tau", "rho"))
+    return _rounded(S.agreement(tau, rho), DIGITS, NUDGE)
 
 
 def _rankings(spark, sf_dir):
+    """The first DEPTH of each model; no ranking goes deeper."""
     queries = R.query_set(spark, sf_dir)
-    size = table(spark, sf_dir, "documents", "doc_id", "n_chars").select("doc_id", F.col("n_chars").cast("double").alias("doc_score"))
-    longest = stable_rank(size.join(R.R.small(queries.select("query_id"))))
-    parts = {"bm25": R.bm25_rank(spark, sf_dir), "tfidf": R.tfidf_rank(spark, sf_dir), "length": longest}
+    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("n_chars"), "doc_id"))  # DEPTH rows
+    longest = table(spark, sf_dir, "documents", "doc_id", "n_chars").orderBy(F.desc_nulls_last("n_chars"), "doc_id").limit(DEPTH).select("doc_id", place.cast("long").alias("doc_rank"))
+    parts = {"bm25": R.bm25_top(spark, sf_dir, DEPTH), "tfidf": R.tfidf_top(spark, sf_dir, DEPTH), "length": queries.select("query_id").join(F.broadcast(longest))}
     out = None
     for model, ranking in parts.items():
-        part = ranking.filter(F.col("doc_rank") <= DEPTH).select(F.lit(model).alias("model"), "query_id", "doc_id", "doc_rank")
+        part = ranking.select(F.lit(model).alias("model"), "query_id", "doc_id", "doc_rank")
         out = part if out is None else out.unionByName(part)
     return step(out)
 
@@ -93,9 +112,7 @@ def significance_models(spark, sf_dir):
 
 
 def tau_rho_line(spark, sf_dir):
-    rows = step(_rows(spark, sf_dir))
-    rho, tau = (f(rows).select("query_id", "feature", F.round("coef", 6).alias(n)) for f, n in ((S.spearman, "rho"), (S.kendall, "tau")))
-    return _rounded(S.greiner(tau.join(rho, ["query_id", "feature"])), DIGITS, NUDGE)
+    return _rounded(S.greiner(_coefficients(spark, sf_dir, True)), DIGITS, NUDGE)
 
 
 QUERIES = {f.__name__: f for f in (rank_feature_join, spearman_per_query, kendall_per_query, ttest_features, bh_fdr, tau_rho_agreement, rbo_curve, rbo_pairs, rbo_matrix, coefficients_wide, coefficients_long, significance_models, tau_rho_line)}

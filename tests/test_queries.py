@@ -270,6 +270,22 @@ def test_tokens_in_numpy_are_those_of_the_jvm(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("group", [1 << 19, 7])
+def test_coefficients_of_parts_are_those_of_rows(spark, monkeypatch, group):
+    from lodestone.operators import local as L
+
+    docs, queries = both_tables(spark)
+    features = spark.createDataFrame([(i, float(i % 5), i * i % 37, 2.0) for i in range(82)], "doc_id long, f double, g int, h double")
+    rows = S.rank_features(R.rank_all(R.bm25(docs, queries), docs, queries), features)
+    want = {(r["query_id"], r["feature"]): (t["coef"], r["coef"]) for r, t in zip(S.spearman(rows).orderBy("query_id", "feature").collect(), S.kendall(rows).orderBy("query_id", "feature").collect(), strict=True)}
+    monkeypatch.setattr(L, "GROUP", group)
+    monkeypatch.setattr(S, "BLOCK", 16)
+    placed, untied = S.feature_places(features)
+    got = {(r["query_id"], r["feature"]): (r["tau"], r["rho"]) for r in S.rank_coefficients(L.bm25(docs, queries, placed), ["f", "g", "h"], untied).collect()}
+    assert got.keys() == want.keys()
+    assert all(x is y is None or abs(x - y) < 1e-9 for k in want for x, y in zip(got[k], want[k], strict=True))
+
+
 def test_edited_scores_are_rounded_as_sql_rounds_them(spark):
     """1.5 times a score of six digits ends in a 5 at the seventh: the decimal text of the double and its product with 10^6 differ."""
     import duckdb
@@ -282,3 +298,16 @@ def test_edited_scores_are_rounded_as_sql_rounds_them(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     assert [r[0] for r in df.select(P.as_sql_rounds(F.col("x") * 1.5)).collect()] == want
     assert [r[0] for r in df.select(F.round(F.col("x") * 1.5, 6)).collect()] != want
+
+
+def test_inversions_against_pairs():
+    import random
+
+    rng = random.Random(7)
+    for n in (0, 1, 2, 17, 90):
+        for top in (3, 1000):
+            y, w, x = ([rng.randrange(1, m + 1) for _ in range(n)] for m in (top, 5, 6))
+            before = [(i, j) for i in range(n) for j in range(i + 1, n)]
+            assert S.inversions(y) == sum(y[i] > y[j] for i, j in before)
+            assert S.inversions(y, w) == sum(w[i] * w[j] for i, j in before if y[i] > y[j])
+            assert not n or S.concord_between(x, y, w) == sum(w[i] * w[j] * sign(x[i] - x[j]) * sign(y[i] - y[j]) for i, j in before)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -106,14 +106,34 @@ def lexical(docs: DataFrame, annotator: Annotator = Annotator()) -> DataFrame:
 
 
 def keywords(docs: DataFrame, annotator: Annotator = Annotator(), top: int = TOP) -> DataFrame:
-    """(doc_id, keyword_density, keywords): the share of the words that the most frequent content lemmas make up; ties to the earlier word."""
-    rows = docs.select("doc_id", T.alphabetic(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
-    words = rows.select("doc_id", F.posexplode(annotator.content(F.col("words"))).alias("pos", "w"))
-    counted = words.groupBy("doc_id", annotator.lemma(F.col("w")).alias("lemma")).agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")
-    best = counted.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= top).groupBy("doc_id").agg(F.sum("n").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "lemma"))), lambda x: x["lemma"]), " ").alias("keywords"))
-    out = rows.select("doc_id", F.size("words").alias("words")).join(best, "doc_id", "left")
-    return out.select("doc_id", F.round(F.coalesce(F.col("n") / F.nullif("words", F.lit(0)), F.lit(0.0)), 6).alias("keyword_density"), F.coalesce("keywords", F.lit("")).alias("keywords"))
+    """(doc_id, keyword_density, keywords): the share of the words that the most frequent content lemmas make up; ties to the
+    earlier word. Counted where the document is; nothing is shuffled."""
+    words = T.alphabetic(F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.select("doc_id", words.alias("words")).select("doc_id", F.size("words").alias("n"), F.transform(annotator.content(F.col("words")), annotator.lemma).alias("lemmas"))
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute
+
+        for batch in batches:
+            lemmas = batch.column("lemmas")
+            lengths = pa.compute.list_value_length(lemmas).to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(batch.num_rows), lengths)
+            coded = lemmas.flatten().dictionary_encode()
+            code, many = coded.indices.to_numpy().astype(np.int64), max(len(coded.dictionary), 1)
+            key, first, times = np.unique(doc * many + code, return_index=True, return_counts=True)
+            order = np.lexsort((first, -times, key // many))
+            key, times = key[order], times[order]
+            starts = np.searchsorted(key // many, np.arange(batch.num_rows + 1))
+            best = np.arange(len(key)) - starts[key // many] < top
+            ends = np.searchsorted((key // many)[best], np.arange(batch.num_rows + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), coded.dictionary.take(pa.array(key[best] % many)))
+            held = np.bincount((key // many)[best], times[best], batch.num_rows).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array(held), pa.compute.binary_join(lists, " ")], ["doc_id", "n", "held", "keywords"])
+
+    out = rows.mapInArrow(count, f"doc_id {dict(docs.dtypes)['doc_id']}, n int, held long, keywords string")
+    return out.select("doc_id", F.round(F.coalesce(F.col("held") / F.nullif("n", F.lit(0)), F.lit(0.0)), 6).alias("keyword_density"), F.coalesce("keywords", F.lit("")).alias("keywords"))
 
 
 def difference(before: DataFrame, after: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -311,3 +311,12 @@ def test_inversions_against_pairs():
             assert S.inversions(y) == sum(y[i] > y[j] for i, j in before)
             assert S.inversions(y, w) == sum(w[i] * w[j] for i, j in before if y[i] > y[j])
             assert not n or S.concord_between(x, y, w) == sum(w[i] * w[j] * sign(x[i] - x[j]) * sign(y[i] - y[j]) for i, j in before)
+
+
+def test_keywords_stay_where_documents_are(spark):
+    from lodestone.operators import features as X
+
+    docs = spark.createDataFrame([(0, "Dog cat dog bird cat fish fox owl"), (1, None), (2, "the a of"), (3, "one")], "doc_id long, text string")
+    found = X.keywords(docs)
+    assert {r["doc_id"]: (r["keyword_density"], r["keywords"]) for r in found.collect()} == {0: (0.875, "dog cat bird fish fox"), 1: (0.0, ""), 2: (0.0, ""), 3: (1.0, "one")}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()

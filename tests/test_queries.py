@@ -313,6 +313,28 @@ def test_inversions_against_pairs():
             assert not n or S.concord_between(x, y, w) == sum(w[i] * w[j] * sign(x[i] - x[j]) * sign(y[i] - y[j]) for i, j in before)
 
 
+def test_products_where_documents_are_equal_those_of_joins(spark, monkeypatch):
+    """Few queries' vectors at a time, and documents of one to six vectors."""
+    import random
+
+    from lodestone.operators import local as L
+
+    rng = random.Random(8)
+    rows = [(i, i // 6 if i < 40 else i, [float(rng.randrange(-9, 10)) / 8 for _ in range(5)]) for i in range(60)]
+    v = spark.createDataFrame(rows, "at long, doc_id long, v array<float>").repartition(3, "at")
+    queries = spark.createDataFrame([(i // 2, i, rows[i * 4][2]) for i in range(12)], "query_id long, pos long, v array<float>")
+    met = v.join(queries.select("query_id", "pos", F.col("v").alias("qv"))).select(F.col("pos").alias("query_id"), "doc_id", F.col("at").alias("chunk"), R.dot(F.col("v"), F.col("qv")).alias("s"))
+    near = lambda df: sorted((r[0], r[1], round(r[2], 5)) for r in df.collect())
+    monkeypatch.setattr(L, "QUERIES", 3)
+    monkeypatch.setattr(L, "HELD", 7)
+    assert near(L.maxsim(v, queries.select("query_id", "v"))) == near(R.maxsim(v, queries))
+    single = queries.select(F.col("pos").alias("query_id"), "v")
+    assert near(L.chunk_aggregate(v, single)) == near(R.chunk_aggregate(met))
+    docs = v.select(F.col("at").alias("doc_id"), "v")
+    assert near(L.inner(docs, single).pairs()) == near(R.dense(docs, single))
+    assert L.inner(docs.union(spark.createDataFrame([(99, None)], "doc_id long, v array<float>")), single) is None
+
+
 def test_keywords_stay_where_documents_are(spark):
     from lodestone.operators import features as X
 
@@ -320,3 +342,14 @@ def test_keywords_stay_where_documents_are(spark):
     found = X.keywords(docs)
     assert {r["doc_id"]: (r["keyword_density"], r["keywords"]) for r in found.collect()} == {0: (0.875, "dog cat bird fish fox"), 1: (0.0, ""), 2: (0.0, ""), 3: (1.0, "one")}
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cosines_that_end_in_a_five_round_as_sql(spark):
+    """63 / 128 = 0.4921875, which products of vectors scaled before fall short of or not."""
+    from lodestone.operators import local as L
+
+    docs = spark.createDataFrame([(0, [8.0, 0.0, 0.0, 0.0]), (1, [0.0] * 4)], "doc_id long, v array<double>")
+    queries = spark.createDataFrame([(0, [63.0, 111.0, 9.0, 3.0 * math.sqrt(3.0)])], "query_id long, v array<double>")
+    v = [63.0, 111.0, 9.0, 3.0 * math.sqrt(3.0)]
+    want = {0: math.floor(8 * 63.0 / (8.0 * math.sqrt(sum(x * x for x in v))) * 1e6 + 0.5) / 1e6, 1: 0.0}
+    assert {r["doc_id"]: r["doc_score"] for r in L.cosines(docs, queries).pairs().collect()} == want
